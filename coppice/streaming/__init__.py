@@ -1,0 +1 @@
+"""The workload this library covers has no streaming operator, so nothing lives here."""
