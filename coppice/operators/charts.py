@@ -34,12 +34,12 @@ def importance_ranked(
     """
     means = mean_importance(importance, value)
     rows = importance.where(F.col(value) >= 0) if drop_negative else importance
-    return lookup_join(rows, means, ["variable"], "left", True)
+    return lookup_join(rows, means, ["variable"], "left", True, derived=True)
 
 
 def keep_top(rows: DataFrame, top: DataFrame, key: str = "variable") -> DataFrame:
     """Rows whose key is in the (small) top table."""
-    return lookup_join(rows, top.select(key), [key], "left_semi", True)
+    return lookup_join(rows, top.select(key), [key], "left_semi", True, derived=True)
 
 
 def max_importance(rows: DataFrame, value: str = "importance") -> DataFrame:

@@ -39,7 +39,7 @@ def unexposed(
 ) -> DataFrame:
     """Rows whose key never occurs in the already filtered ``exposed`` table."""
     ids = exposed.select(key).distinct()
-    return lookup_join(df, ids, [key], "left_anti", unique_right=True, max_rows=max_rows)
+    return lookup_join(df, ids, [key], "left_anti", True, max_rows, derived=True)
 
 
 def first_per_group(

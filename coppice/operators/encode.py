@@ -105,4 +105,7 @@ class CategoryEncoder:
             code = F.coalesce(F.col("__code"), F.lit(self.counts[c])).cast("double")
             code = F.when(F.col(c).isNotNull(), code)
             df = coded.withColumn(c, code).drop("__code")
+            if self.counts[c] > BROADCAST_ROWS:
+                # a spread join reads its left side three times: do not nest them
+                df = stage(df, "encoded")
         return df.select(*order)

@@ -100,7 +100,7 @@ def exact_quantiles(
             )
         )
     brackets = sketch.select(by, "n", F.array(*rows).alias("__brackets"))
-    marked = lookup_join(known, brackets, [by], "inner", True, max_rows)
+    marked = lookup_join(known, brackets, [by], "inner", True, max_rows, derived=True)
     reach = F.filter("__brackets", lambda b: F.col("__v") <= b["high"])
     counted = (
         marked.select(by, "n", "__v", F.explode(reach).alias("__b"))
@@ -147,7 +147,7 @@ def boxplot_stats(
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     v = F.col(value)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    joined = lookup_join(df.select(by, value), hinges, [by], "inner", True, max_rows)
+    joined = lookup_join(df.select(by, value), hinges, [by], "inner", True, max_rows, derived=True)
     return joined.groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),

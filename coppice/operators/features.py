@@ -30,9 +30,13 @@ def ratio_to_group_mean(
     mean_col: str = "group_mean",
     out: str = "relative",
     max_rows: int = BROADCAST_ROWS,
+    derived: bool = True,
 ) -> DataFrame:
-    """Add ``value / mean of its group``, the means coming from another (unfiltered) table."""
-    joined = lookup_join(df, means, [key], "left", unique_right=True, max_rows=max_rows)
+    """Add ``value / mean of its group``, the means coming from another (unfiltered) table.
+
+    Pass ``derived=False`` for means that are already stored.
+    """
+    joined = lookup_join(df, means, [key], "left", True, max_rows, derived)
     return joined.withColumn(out, safe_ratio(value, mean_col))
 
 
@@ -62,6 +66,6 @@ def minmax_rescale(
 ) -> DataFrame:
     """Rescale ``value`` to [0, 1] inside each group; null for a group without spread."""
     bounds = df.groupBy(key).agg(F.min(value).alias("__min"), F.max(value).alias("__max"))
-    joined = lookup_join(df, bounds, [key], "left", unique_right=True, max_rows=max_rows)
+    joined = lookup_join(df, bounds, [key], "left", True, max_rows, derived=True)
     scaled = safe_ratio(F.col(value) - F.col("__min"), F.col("__max") - F.col("__min"))
     return joined.withColumn(out, scaled).drop("__min", "__max")

@@ -18,7 +18,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import bag_weight, safe_ratio
@@ -192,10 +192,11 @@ def hash_seed(seed: int, replicate: int) -> int:
     return seed * 100_003 + replicate
 
 
-def run_all(jobs: Iterable[Callable], parallelism: int) -> list:
+def run_all(spark: SparkSession, jobs: Iterable[Callable], parallelism: int) -> list:
     """Run independent Spark jobs from a bounded pool of driver threads, in order."""
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(lambda job: inheritable_thread_target(job)(), list(jobs)))
+        return list(pool.map(lambda job: inherit(job)(), list(jobs)))
 
 
 def fit_replicates(
@@ -230,7 +231,7 @@ def fit_replicates(
         return fit
 
     jobs = [job(r, b) for r in replicates for b in range(len(sizes))]
-    models = run_all(jobs, parallelism)
+    models = run_all(table.df.sparkSession, jobs, parallelism)
     return [
         BaggedForest(r, spec.seed, table.features, models[i * len(sizes) : (i + 1) * len(sizes)])
         for i, r in enumerate(replicates)
@@ -358,6 +359,7 @@ def fit_per_group(
     keys = [r[0] for r in table.df.select(column).distinct().orderBy(column).collect()]
     tables = {k: replace(table, df=table.df.where(F.col(column) == F.lit(k))) for k in keys}
     fits = run_all(
+        df.sparkSession,
         [lambda t=t, i=i: fit_replicates(t, spec, [i], 1)[0] for i, t in enumerate(tables.values(), 1)],
         parallelism,
     )

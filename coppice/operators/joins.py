@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coppice.session import stage
+
 # Largest table handed to a broadcast: checked by counting, never assumed.
 BROADCAST_ROWS = 200_000
 # A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer than
@@ -100,8 +102,15 @@ def lookup_join(
     how: str = "left",
     unique_right: bool = False,
     max_rows: int = BROADCAST_ROWS,
+    derived: bool = False,
 ) -> DataFrame:
-    """Join with a side that is usually small: broadcast if counted small, else spread."""
+    """Join with a side that is usually small: broadcast if counted small, else spread.
+
+    ``derived`` says that the right side is the result of a shuffle over a large table. It
+    is then written once, as counting, checking and joining would each compute it again.
+    """
+    if derived:
+        right = stage(right, "join-side")
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), keys, how)
     return spread_join(left, right, keys, how, unique_right)

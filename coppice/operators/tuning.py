@@ -104,7 +104,7 @@ def grid_search(
         return assess
 
     jobs = [job(c, p, f) for c, p in points for f in range(folds)]
-    found = [row for rows in run_all(jobs, parallelism) for row in rows]
+    found = [row for rows in run_all(spark, jobs, parallelism) for row in rows]
     schema = "config string, mtry int, min_n int, trees int, fold int, metric string, estimate double"
     return spark.createDataFrame(found, schema)
 

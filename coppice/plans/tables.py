@@ -51,7 +51,7 @@ def site_means(surveys: DataFrame, cols: SurveyColumns = SurveyColumns()) -> Dat
 def _with_ratio(df: DataFrame, means: DataFrame, cols: SurveyColumns) -> DataFrame:
     kept = df.where(F.col(cols.quality) == F.lit(cols.keep_quality))
     ratio = ratio_to_group_mean(
-        kept, means, cols.site, cols.width, "site_mean", cols.relative_width
+        kept, means, cols.site, cols.width, "site_mean", cols.relative_width, derived=False
     )
     return ratio.drop("site_mean")
 
