@@ -44,21 +44,21 @@ def mapping_frame(spark, mapping: Mapping[str, str], key: str, value: str) -> Da
     return spark.createDataFrame(list(mapping.items()), f"{key} string, {value} string")
 
 
-def level_codes(df: DataFrame, col: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Distinct levels of a column with their position in alphabetical order, from 0.
+def _ranked(levels: DataFrame, order: list[str], max_rows: int, known_rows: int | None) -> DataFrame:
+    """Distinct rows with their position in the order of ``order``, from 0.
 
-    A plain rank needs all levels in one task, which is fine only when they are counted to
-    be few. Beyond the bound the levels are range-partitioned and staged with their
-    partition number; a level's code is its rank inside the partition plus the number of
-    levels in earlier partitions (one row per partition).
+    A plain rank needs all rows in one task, which is fine only when they are counted to be
+    few. Beyond the bound they are range-partitioned and staged with their partition number;
+    a row's position is its rank inside the partition plus the number of rows in earlier
+    partitions (one row per partition).
     """
-    levels = df.select(col).where(F.col(col).isNotNull()).distinct()
-    if fits_broadcast(levels, max_rows):
-        order = Window.orderBy(col)
-        return levels.withColumn("code", (F.row_number().over(order) - 1).cast("bigint"))
-    slices = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    few = fits_broadcast(levels, max_rows) if known_rows is None else known_rows <= max_rows
+    if few:
+        everything = Window.orderBy(*order)
+        return levels.withColumn("code", (F.row_number().over(everything) - 1).cast("bigint"))
+    slices = max(2, int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = stage(
-        levels.repartitionByRange(slices, col).withColumn("__part", F.spark_partition_id()),
+        levels.repartitionByRange(slices, *order).withColumn("__part", F.spark_partition_id()),
         "levels",
     )
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
@@ -66,46 +66,74 @@ def level_codes(df: DataFrame, col: str, max_rows: int = BROADCAST_ROWS) -> Data
     offsets = sizes.select(
         "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset")
     )
-    within = Window.partitionBy("__part").orderBy(col)
+    within = Window.partitionBy("__part").orderBy(*order)
     return (
         ranged.withColumn("__rank", F.row_number().over(within) - 1)
         .join(F.broadcast(offsets), "__part")
-        .select(col, (F.col("__rank") + F.col("__offset")).cast("bigint").alias("code"))
+        .withColumn("code", (F.col("__rank") + F.col("__offset")).cast("bigint"))
+        .drop("__part", "__rank", "__offset")
     )
 
 
+def level_codes(df: DataFrame, col: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Distinct levels of a column with their position in ascending order, from 0."""
+    levels = df.select(col).where(F.col(col).isNotNull()).distinct()
+    return _ranked(levels, [col], max_rows, None)
+
+
 def ordinal_encode(
     df: DataFrame, col: str, out: str = "code", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Add the alphabetical level code of ``col``."""
+    """Add the level code of ``col``."""
     codes = level_codes(df, col, max_rows).withColumnRenamed("code", out)
-    return lookup_join(df, codes, [col], "left", True, max_rows)
+    return lookup_join(df, codes, [col], "left", True, max_rows, derived=True)
 
 
 @dataclass(frozen=True)
 class CategoryEncoder:
-    """Level tables learnt on a training table, for use on any later table.
+    """Level codes learnt on a training table, for use on any later table.
 
-    A value unseen in training gets the code one past the last known level.
+    Levels are compared as text and coded alphabetically per column. A value unseen in
+    training gets the code one past the last known level.
     """
 
-    levels: dict[str, DataFrame]
+    levels: DataFrame
     counts: dict[str, int]
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str]) -> CategoryEncoder:
-        levels = {c: stage(level_codes(df, c), f"levels-{c}") for c in columns}
-        return cls(levels, {c: t.count() for c, t in levels.items()})
-
-    def transform(self, df: DataFrame) -> DataFrame:
+    def fit(
+        cls, df: DataFrame, columns: list[str], max_rows: int = BROADCAST_ROWS
+    ) -> CategoryEncoder:
+        """Learn the levels of all columns in one pass over the table."""
+        pairs = F.array(
+            *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns]
+        )
+        seen = df.select(F.explode(pairs).alias("__p")).select("__p.column", "__p.level")
+        distinct = stage(seen.where(F.col("level").isNotNull()).distinct(), "levels")
+        counts = dict.fromkeys(columns, 0)
+        counts |= {r["column"]: r["count"] for r in distinct.groupBy("column").count().collect()}
+        coded = _ranked(distinct, ["column", "level"], max_rows, sum(counts.values()))
+        # positions run through the columns in name order: start each column at 0
+        first, total = {}, 0
+        for c in sorted(counts, key=lambda name: name.encode()):
+            first[c], total = total, total + counts[c]
+        start = F.coalesce(*[F.when(F.col("column") == F.lit(c), F.lit(n)) for c, n in first.items()])
+        coded = coded.withColumn("code", F.col("code") - start)
+        return cls(stage(coded, "level-codes"), counts)
+
+    def transform(self, df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
         """Replace every encoded column by its numeric code (double)."""
         order = df.columns
-        for c, table in self.levels.items():
-            coded = lookup_join(df, table.withColumnRenamed("code", "__code"), [c], "left", True)
-            code = F.coalesce(F.col("__code"), F.lit(self.counts[c])).cast("double")
-            code = F.when(F.col(c).isNotNull(), code)
-            df = coded.withColumn(c, code).drop("__code")
-            if self.counts[c] > BROADCAST_ROWS:
+        for c, known in self.counts.items():
+            codes = self.levels.where(F.col("column") == F.lit(c)).select(
+                F.col("level").alias("__level"), F.col("code").alias("__code")
+            )
+            keyed = df.withColumn("__level", F.col(c).cast("string"))
+            coded = lookup_join(keyed, codes, ["__level"], "left", True, max_rows, rows=known)
+            code = F.coalesce(F.col("__code"), F.lit(known)).cast("double")
+            code = F.when(F.col("__level").isNotNull(), code)
+            df = coded.withColumn(c, code).drop("__code", "__level")
+            if known > max_rows:
                 # a spread join reads its left side three times: do not nest them
                 df = stage(df, "encoded")
         return df.select(*order)

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from coppice.functions import mse, r2_explained, r2_out_of_bag, rmse
 from coppice.operators.joins import BROADCAST_ROWS, lookup_join
+from coppice.session import stage
 
 # percentile_approx keeps a deterministic rank error of at most n / _SKETCH; the bracket
 # taken around a rank is four times as wide.
 _SKETCH = 10_000
 _MARGIN = 4.0 / _SKETCH
-# Groups up to this size keep all their values: the bracket would be about one rank wide.
-_WHOLE = 2 * _SKETCH
+# Groups up to this size keep all their values in one aggregation state.
+WHOLE_GROUP = 100_000
+# Bins a bracket is cut into to locate a rank before anything is sorted.
+_BINS = 1_024
 
 
 def transfer_metrics(
@@ -64,15 +67,47 @@ def exact_quantiles(
     value: str,
     probabilities: list[float],
     max_rows: int = BROADCAST_ROWS,
+    whole: int = WHOLE_GROUP,
 ) -> DataFrame:
     """Interpolated (type 7) quantiles per group: columns ``by, prob, n, quantile``.
 
-    ``percentile`` would hold every distinct value of a group in one task. Here a mergeable
-    sketch only brackets each wanted rank; values below the bracket are counted, values
-    inside are kept with their multiplicities, and the exact order statistics are read from
-    those. Only about n / 1,250 rows of a group ever meet, copies collapsed beforehand.
+    ``percentile`` keeps every distinct value of a group in one aggregation state, so it
+    only serves groups of at most ``whole`` rows. For larger groups a mergeable sketch
+    brackets each wanted rank first, see ``_large_group_quantiles``.
     """
     known = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("__v"))
+    sizes = stage(known.groupBy(by).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    large = sizes.where(F.col("n") > whole).select(by)
+    if large.isEmpty():
+        return _small_group_quantiles(known, by, probabilities)
+    small_rows = lookup_join(known, large, [by], "left_anti", True, max_rows)
+    large_rows = lookup_join(known, large, [by], "left_semi", True, max_rows)
+    return _small_group_quantiles(small_rows, by, probabilities).unionByName(
+        _large_group_quantiles(large_rows, by, probabilities, max_rows)
+    )
+
+
+def _small_group_quantiles(known: DataFrame, by: str, probabilities: list[float]) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    found = known.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("__v", wanted).alias("__q")
+    )
+    pairs = F.arrays_zip(wanted.alias("prob"), F.col("__q").alias("quantile"))
+    return found.select(by, "n", F.explode(pairs).alias("__p")).select(
+        by, "__p.prob", "n", "__p.quantile"
+    )
+
+
+def _large_group_quantiles(
+    known: DataFrame, by: str, probabilities: list[float], max_rows: int
+) -> DataFrame:
+    """Exact quantiles of groups too large for one task.
+
+    The sketch bounds the values between which a rank lies. Values below the bracket are
+    only counted, values inside are kept with their multiplicities (copies collapse before
+    the shuffle). The bracket, about n / 1,250 rows wide, is cut into bins whose totals
+    locate the rank, and only the bins holding it are put in order.
+    """
     wanted: list[float] = []
     for p in probabilities:
         wanted += [max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0)]
@@ -82,49 +117,61 @@ def exact_quantiles(
         F.max("__v").alias("__hi"),
         F.percentile_approx("__v", wanted, _SKETCH).alias("__q"),
     )
-    rows = []
+    entries = []
     for i, p in enumerate(probabilities):
-        at = (F.col("n") - 1) * F.lit(p)
-        small = F.col("n") <= _WHOLE
-        low = F.when(small | F.lit(p <= _MARGIN), F.col("__lo")).otherwise(F.col("__q")[2 * i])
-        high = F.when(small | F.lit(p >= 1 - _MARGIN), F.col("__hi")).otherwise(
-            F.col("__q")[2 * i + 1]
-        )
-        rows.append(
+        at = (F.col("n") - 1) * F.lit(float(p))
+        low = F.col("__lo") if p <= _MARGIN else F.col("__q")[2 * i]
+        high = F.col("__hi") if p >= 1 - _MARGIN else F.col("__q")[2 * i + 1]
+        entries.append(
             F.struct(
-                F.lit(p).alias("prob"),
+                F.lit(float(p)).alias("prob"),
                 low.alias("low"),
                 high.alias("high"),
                 F.floor(at).alias("rank"),
                 (at - F.floor(at)).alias("part"),
             )
         )
-    brackets = sketch.select(by, "n", F.array(*rows).alias("__brackets"))
+    brackets = sketch.select(by, "n", F.array(*entries).alias("__brackets"))
     marked = lookup_join(known, brackets, [by], "inner", True, max_rows, derived=True)
     reach = F.filter("__brackets", lambda b: F.col("__v") <= b["high"])
-    counted = (
+    v, b = F.col("__v"), F.col("__b")
+    place = F.floor(F.try_divide(v - b["low"], b["high"] - b["low"]) * _BINS)
+    inside = v >= b["low"]
+    counted = stage(
         marked.select(by, "n", "__v", F.explode(reach).alias("__b"))
         .select(
             by,
             "n",
-            "__b.prob",
-            "__b.rank",
-            "__b.part",
-            F.when(F.col("__v") >= F.col("__b.low"), F.col("__v")).alias("__v"),
+            b["prob"].alias("prob"),
+            b["rank"].alias("rank"),
+            b["part"].alias("part"),
+            F.when(inside, F.coalesce(place, F.lit(0))).otherwise(F.lit(-1)).alias("bin"),
+            F.when(inside, v).alias("__v"),
         )
-        .groupBy(by, "n", "prob", "rank", "part", "__v")
-        .agg(F.count(F.lit(1)).alias("__m"))
+        .groupBy(by, "n", "prob", "rank", "part", "bin", "__v")
+        .agg(F.count(F.lit(1)).alias("__m")),
+        "brackets",
     )
-    order = Window.partitionBy(by, "prob").orderBy(F.col("__v").asc_nulls_first())
-    placed = counted.withColumn("__end", F.sum("__m").over(order))
-    begin = F.col("__end") - F.col("__m")
     upper_rank = F.least(F.col("rank") + 1, F.col("n") - 1)
+    along = Window.partitionBy(by, "prob").orderBy("bin")
+    bins = (
+        counted.groupBy(by, "n", "prob", "rank", "bin")
+        .agg(F.sum("__m").alias("__size"))
+        .withColumn("__base", F.sum("__size").over(along) - F.col("__size"))
+        .where((F.col("__base") <= upper_rank) & (F.col("rank") < F.col("__base") + F.col("__size")))
+        .select(by, "prob", "bin", "__base")
+    )
+    kept = lookup_join(counted, bins, [by, "prob", "bin"], "inner", True, max_rows, derived=True)
+    order = Window.partitionBy(by, "prob", "bin").orderBy("__v")
+    placed = kept.withColumn("__end", F.col("__base") + F.sum("__m").over(order))
+    begin = F.col("__end") - F.col("__m")
 
     def at_rank(rank):
         return F.max(F.when((begin <= rank) & (rank < F.col("__end")), F.col("__v")))
 
-    lower, upper = at_rank(F.col("rank")), at_rank(upper_rank)
-    found = placed.groupBy(by, "n", "prob", "part").agg(lower.alias("__a"), upper.alias("__b"))
+    found = placed.groupBy(by, "n", "prob", "part").agg(
+        at_rank(F.col("rank")).alias("__a"), at_rank(upper_rank).alias("__b")
+    )
     missed = F.raise_error(F.lit("a quantile fell outside its sketch bracket")).cast("double")
     value_at = F.when(F.col("__a").isNull() | F.col("__b").isNull(), missed).otherwise(
         F.col("__a") + F.col("part") * (F.col("__b") - F.col("__a"))

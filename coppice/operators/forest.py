@@ -262,55 +262,52 @@ def replicate_metrics(oob: DataFrame, by: str = "iteration") -> DataFrame:
 
 
 def forest_importance(
-    forests: Sequence[BaggedForest], table: ModelTable, blocks: int | None = None, seed: int = 0
+    forests: Sequence[BaggedForest],
+    table: ModelTable,
+    blocks: int | None = None,
+    seed: int = 0,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Scaled permutation importance of every feature in every replicate.
 
-    The repeats are the bags of a replicate: each bag is judged on its own out-of-bag rows.
-    The permuted columns are the same for all replicates, so they are staged once; per
-    replicate one pass scores all variants by all bags and shuffles one row of partial
-    error sums per variable and task.
+    The repeats are the bags of a replicate, each judged on its own out-of-bag rows. The
+    permuted columns serve all replicates and are staged once. Every (replicate, bag) is a
+    job that scores only its out-of-bag rows, a third of the table, and shuffles one
+    partial mean per variable and task; one number per variable returns to the driver.
     """
+    spark = table.df.sparkSession
     blocks = blocks or block_count(table.df)
+    needed = table.df.select(*table.ids, *table.features, table.label)
     permuted = stage(
-        with_permuted(
-            table.df.select(*table.ids, *table.features, table.label),
-            table.ids,
-            table.features,
-            blocks,
-            seed,
-        ).drop("__block"),
+        with_permuted(needed, table.ids, table.features, blocks, seed).drop("__block"),
         "permuted",
         spread=True,
     )
-    parts = []
-    for forest in forests:
-        variants = permuted_variants(permuted, table.features)
-        scored = forest.raw_scores(variants)
-        errors = []
-        for b in range(len(forest.bags)):
-            error = F.pow(F.col(f"__bag{b}") - F.col(table.label), F.lit(2))
-            errors.append(F.avg(F.when(forest.weight(table.ids, b) == 0, error)).alias(str(b)))
-        wide = scored.groupBy("variable").agg(*errors)
-        bags = [str(b) for b in range(len(forest.bags))]
-        rows = wide.unpivot(["variable"], bags, "bag", "mse")
-        parts.append((forest.replicate, rows))
-    long = reduce(
-        DataFrame.unionByName, [rows.withColumn("iteration", F.lit(r)) for r, rows in parts]
-    )
-    base = long.where(F.col("variable") == BASELINE).select(
-        "iteration", "bag", F.col("mse").alias("__base")
-    )
-    # replicates x bags rows: bounded by the settings, not by the data
-    deltas = (
-        long.where(F.col("variable") != BASELINE)
-        .join(F.broadcast(base), ["iteration", "bag"])
-        .withColumn("__delta", F.col("mse") - F.col("__base"))
-    )
-    n = F.count("__delta")
+    assembler = VectorAssembler(inputCols=table.features, outputCol=_FEATURES)
+
+    def job(forest: BaggedForest, bag: int):
+        def measure() -> list[tuple]:
+            unseen = permuted.where(forest.weight(table.ids, bag) == 0)
+            variants = permuted_variants(unseen, table.features)
+            scored = forest.bags[bag].transform(assembler.transform(variants))
+            error = F.pow(F.col(f"__bag{bag}") - F.col(table.label), F.lit(2))
+            rows = scored.groupBy("variable").agg(F.avg(error).alias("mse")).collect()
+            errors = {r["variable"]: r["mse"] for r in rows}
+            return [
+                (forest.replicate, bag, f, errors[f] - errors[BASELINE])
+                for f in table.features
+                if f in errors
+            ]
+
+        return measure
+
+    jobs = [job(f, b) for f in forests for b in range(len(f.bags))]
+    rises = [row for rows in run_all(spark, jobs, parallelism) for row in rows]
+    deltas = spark.createDataFrame(rises, "iteration int, bag int, variable string, delta double")
+    n = F.count("delta")
     return deltas.groupBy("iteration", "variable").agg(
-        F.avg("__delta").alias("importance"),
-        safe_ratio(F.avg("__delta"), F.stddev_samp("__delta") / F.sqrt(n)).alias("importance_z"),
+        F.avg("delta").alias("importance"),
+        safe_ratio(F.avg("delta"), F.stddev_samp("delta") / F.sqrt(n)).alias("importance_z"),
     )
 
 

@@ -103,15 +103,18 @@ def lookup_join(
     unique_right: bool = False,
     max_rows: int = BROADCAST_ROWS,
     derived: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join with a side that is usually small: broadcast if counted small, else spread.
 
     ``derived`` says that the right side is the result of a shuffle over a large table. It
     is then written once, as counting, checking and joining would each compute it again.
+    ``rows`` is the size of the right side where the caller has counted it already.
     """
     if derived:
         right = stage(right, "join-side")
-    if fits_broadcast(right, max_rows):
+    small = fits_broadcast(right, max_rows) if rows is None else rows <= max_rows
+    if small:
         return left.join(F.broadcast(right), keys, how)
     return spread_join(left, right, keys, how, unique_right)
 

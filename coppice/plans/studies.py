@@ -50,7 +50,7 @@ def run_study(
     """Fit the replicates and derive out-of-bag predictions, metrics and importances."""
     forests = fit_replicates(table, spec, replicates, parallelism)
     predictions = stage(oob_predictions(forests, table, carried), "oob")
-    importance = stage(forest_importance(forests, table), "importance")
+    importance = stage(forest_importance(forests, table, parallelism=parallelism), "importance")
     return Study(
         table,
         forests,
