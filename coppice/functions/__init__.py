@@ -12,13 +12,14 @@ from coppice.functions.columns import (
     strict_mean,
     to_number,
 )
-from coppice.functions.hashing import bag_weight, poisson1, stable_hash, uniform01
+from coppice.functions.hashing import bag_weight, out_of_bag, poisson1, stable_hash, uniform01
 
 __all__ = [
     "bag_weight",
     "composite_key",
     "log2_or_null",
     "mse",
+    "out_of_bag",
     "poisson1",
     "r2_explained",
     "r2_out_of_bag",

@@ -54,5 +54,14 @@ def bag_weight(ids: list[str], bag: int, seed: int = 0) -> Column:
     One digest serves four consecutive bags, so B bags cost B/4 digests per row when
     asked for together.
     """
+    return poisson1(_bag_uniform(ids, bag, seed))
+
+
+def out_of_bag(ids: list[str], bag: int, seed: int = 0) -> Column:
+    """True where ``bag_weight`` is 0; evaluates the hash once, also inside a filter."""
+    return _bag_uniform(ids, bag, seed) < F.lit(math.exp(-1.0))
+
+
+def _bag_uniform(ids: list[str], bag: int, seed: int) -> Column:
     digest = _digest(ids, f"{seed}:{bag // _DRAWS_PER_DIGEST}")
-    return poisson1(_draw(digest, bag % _DRAWS_PER_DIGEST) / F.lit(_SPAN))
+    return _draw(digest, bag % _DRAWS_PER_DIGEST) / F.lit(_SPAN)

@@ -21,7 +21,7 @@ def map_categories(
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the category of ``key`` from a (key, category) table; ``default`` fills the gaps."""
-    joined = lookup_join(df, mapping.select(key, category), [key], "left", True, max_rows)
+    joined = lookup_join(df, mapping.select(key, category), [key], "left", max_rows=max_rows)
     if default is None:
         return joined
     return joined.withColumn(category, F.coalesce(F.col(category), F.lit(default)))
@@ -35,7 +35,7 @@ def label_values(
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the display label of ``key``, falling back to the raw value."""
-    joined = lookup_join(df, labels.select(key, label), [key], "left", True, max_rows)
+    joined = lookup_join(df, labels.select(key, label), [key], "left", max_rows=max_rows)
     return joined.withColumn(label, F.coalesce(F.col(label), F.col(key).cast("string")))
 
 
@@ -129,11 +129,8 @@ class CategoryEncoder:
                 F.col("level").alias("__level"), F.col("code").alias("__code")
             )
             keyed = df.withColumn("__level", F.col(c).cast("string"))
-            coded = lookup_join(keyed, codes, ["__level"], "left", True, max_rows, rows=known)
+            coded = lookup_join(keyed, codes, ["__level"], "left", True, max_rows, settle=True)
             code = F.coalesce(F.col("__code"), F.lit(known)).cast("double")
             code = F.when(F.col("__level").isNotNull(), code)
             df = coded.withColumn(c, code).drop("__code", "__level")
-            if known > max_rows:
-                # a spread join reads its left side three times: do not nest them
-                df = stage(df, "encoded")
         return df.select(*order)

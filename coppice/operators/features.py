@@ -31,12 +31,13 @@ def ratio_to_group_mean(
     out: str = "relative",
     max_rows: int = BROADCAST_ROWS,
     derived: bool = True,
+    settle: bool = False,
 ) -> DataFrame:
     """Add ``value / mean of its group``, the means coming from another (unfiltered) table.
 
     Pass ``derived=False`` for means that are already stored.
     """
-    joined = lookup_join(df, means, [key], "left", True, max_rows, derived)
+    joined = lookup_join(df, means, [key], "left", True, max_rows, derived, settle)
     return joined.withColumn(out, safe_ratio(value, mean_col))
 
 

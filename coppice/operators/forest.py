@@ -21,7 +21,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.functions import bag_weight, safe_ratio
+from coppice.functions import bag_weight, out_of_bag, safe_ratio
 from coppice.operators.encode import CategoryEncoder
 from coppice.operators.evaluate import fit_metrics
 from coppice.operators.explain import BASELINE, Scorer, block_count, permuted_variants, with_permuted
@@ -151,6 +151,10 @@ class BaggedForest:
         """Bootstrap multiplicity of a row in a bag of this replicate."""
         return _weight(ids, self.seed, self.replicate, bag)
 
+    def unseen(self, ids: list[str], bag: int) -> Column:
+        """True for rows a bag of this replicate was not fitted on."""
+        return out_of_bag(ids, bag, hash_seed(self.seed, self.replicate))
+
     def raw_scores(self, df: DataFrame) -> DataFrame:
         """Add the prediction of every bag in one narrow pass over the rows."""
         absent = [f for f in self.features if f not in df.columns]
@@ -168,7 +172,7 @@ class BaggedForest:
 
     def combined_out_of_bag(self, ids: list[str]) -> Column:
         """Mean over the trees that have not seen the row; null if all have."""
-        outs = [(self.weight(ids, b) == 0, b, m.getNumTrees) for b, m in enumerate(self.bags)]
+        outs = [(self.unseen(ids, b), b, m.getNumTrees) for b, m in enumerate(self.bags)]
         tops = [F.when(out, F.col(self._raw(b)) * n).otherwise(F.lit(0.0)) for out, b, n in outs]
         lows = [F.when(out, F.lit(float(n))).otherwise(F.lit(0.0)) for out, _, n in outs]
         return safe_ratio(reduce(lambda a, b: a + b, tops), reduce(lambda a, b: a + b, lows))
@@ -216,11 +220,9 @@ def fit_replicates(
 
     def job(replicate: int, bag: int):
         def fit() -> RandomForestRegressionModel:
-            weight = _weight(table.ids, spec.seed, replicate, bag)
-            rows = (
-                table.df.select(*table.features, table.label, weight.cast("double").alias("__w"))
-                .where("__w > 0")
-            )
+            weight = _weight(table.ids, spec.seed, replicate, bag).cast("double")
+            absent = out_of_bag(table.ids, bag, hash_seed(spec.seed, replicate))
+            rows = table.df.where(~absent).select(*table.features, table.label, weight.alias("__w"))
             estimator = spec.estimator(
                 len(table.features), sizes[bag], hash_seed(spec.seed, replicate) * 1_009 + bag
             )
@@ -287,7 +289,7 @@ def forest_importance(
 
     def job(forest: BaggedForest, bag: int):
         def measure() -> list[tuple]:
-            unseen = permuted.where(forest.weight(table.ids, bag) == 0)
+            unseen = permuted.where(forest.unseen(table.ids, bag))
             variants = permuted_variants(unseen, table.features)
             scored = forest.bags[bag].transform(assembler.transform(variants))
             error = F.pow(F.col(f"__bag{bag}") - F.col(table.label), F.lit(2))

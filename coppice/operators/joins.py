@@ -6,20 +6,39 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    DateType,
+    NumericType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from coppice.session import stage
 
-# Largest table handed to a broadcast: checked by counting, never assumed.
+# Largest table handed to a broadcast: measured, never assumed.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 * 2**20
 # A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer than
 # HOT_KEYS hot keys whatever the data: a proven bound for broadcasting them.
 HOT_KEYS = 256
 SALTS = 64
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` is counted to have at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """True when ``df`` is measured to stay within both bounds.
+
+    At most ``max_rows + 1`` rows are read; values of variable length are measured as text.
+    """
+    fixed = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
+    loose = [f.name for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    width = F.lit(8 * len(df.columns))
+    for name in loose:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0))
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
 def heavy_keys(df: DataFrame, keys: list[str], max_keys: int = HOT_KEYS) -> DataFrame:
@@ -103,20 +122,21 @@ def lookup_join(
     unique_right: bool = False,
     max_rows: int = BROADCAST_ROWS,
     derived: bool = False,
-    rows: int | None = None,
+    settle: bool = False,
 ) -> DataFrame:
     """Join with a side that is usually small: broadcast if counted small, else spread.
 
     ``derived`` says that the right side is the result of a shuffle over a large table. It
     is then written once, as counting, checking and joining would each compute it again.
-    ``rows`` is the size of the right side where the caller has counted it already.
+    ``settle`` stages the result of a spread join: such a join reads its left side several
+    times, so a chain of them must not be left to recompute its beginning over and over.
     """
     if derived:
         right = stage(right, "join-side")
-    small = fits_broadcast(right, max_rows) if rows is None else rows <= max_rows
-    if small:
+    if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), keys, how)
-    return spread_join(left, right, keys, how, unique_right)
+    joined = spread_join(left, right, keys, how, unique_right)
+    return stage(joined, "joined") if settle else joined
 
 
 def join_on_pairs(
@@ -126,10 +146,11 @@ def join_on_pairs(
     how: str = "left",
     unique_right: bool = False,
     max_rows: int = BROADCAST_ROWS,
+    settle: bool = False,
 ) -> DataFrame:
     """Join on differently named columns (left name -> right name), dropping the right keys."""
     renamed = right.withColumnsRenamed({r: l for l, r in pairs.items()})
-    return lookup_join(left, renamed, list(pairs), how, unique_right, max_rows)
+    return lookup_join(left, renamed, list(pairs), how, unique_right, max_rows, settle=settle)
 
 
 def left_join_expecting(

@@ -51,7 +51,7 @@ def site_means(surveys: DataFrame, cols: SurveyColumns = SurveyColumns()) -> Dat
 def _with_ratio(df: DataFrame, means: DataFrame, cols: SurveyColumns) -> DataFrame:
     kept = df.where(F.col(cols.quality) == F.lit(cols.keep_quality))
     ratio = ratio_to_group_mean(
-        kept, means, cols.site, cols.width, "site_mean", cols.relative_width, derived=False
+        kept, means, cols.site, cols.width, "site_mean", cols.relative_width, derived=False, settle=True
     )
     return ratio.drop("site_mean")
 
@@ -127,6 +127,6 @@ def difference_rows(
     gives the survey id; several predictions (one per model) meet several exposure rows.
     """
     errors = predictions.withColumn("difference", residual("predicted", "observed", sign))
-    linked = join_on_pairs(errors, linkage.drop(*drop), dict(site_year))
+    linked = join_on_pairs(errors, linkage.drop(*drop), dict(site_year), settle=True)
     joined = left_join_expecting(linked, exposures, [survey], "m:n")
     return complete_cases(joined, list(columns))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coppice.operators import tuning
+from coppice.operators.explain import partial_dependence
 from coppice.operators.forest import (
     ForestSpec,
     fit_per_group,
@@ -73,6 +74,26 @@ def test_bags_are_fitted_without_their_out_of_bag_rows(table, forests):
     assert oob.count() == table.df.count()
 
 
+def test_out_of_bag_scores_equal_brute_force(table, forests):
+    forest = forests[0]
+    cols = [forest.weight(["id"], b).alias(f"w{b}") for b in range(5)]
+    local = forest.raw_scores(table.df).select("id", *cols, *[f"__bag{b}" for b in range(5)]).toPandas()
+    got = oob_predictions([forest], table).toPandas().set_index("id").predicted
+    sizes = [m.getNumTrees for m in forest.bags]
+    for row in local.head(300).itertuples(index=False):
+        out = [b for b in range(5) if row[1 + b] == 0]
+        expected = sum(row[6 + b] * sizes[b] for b in out) / sum(sizes[b] for b in out) if out else math.nan
+        assert (math.isnan(expected) and math.isnan(got[row[0]])) or math.isclose(got[row[0]], expected)
+
+
+def test_forest_dependence_equals_brute_force(table, forests):
+    score = forests[0].scorer()
+    grid = {"a": [1.0, 5.0, 9.0], "d": [0.0, 2.0]}
+    for r in partial_dependence(table.df, score, grid, table.features).collect():
+        fixed = table.df.withColumn(r.variable, F.lit(r.value))
+        assert math.isclose(r.yhat, score(fixed).agg(F.avg("prediction")).first()[0], rel_tol=1e-9)
+
+
 def test_replicates_differ(table, forests):
     first = table.df.select(forests[0].weight(["id"], 0).alias("a"), forests[1].weight(["id"], 0).alias("b"))
     assert first.where("a <> b").count() > 1000

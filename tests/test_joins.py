@@ -81,7 +81,14 @@ def test_lookup_join_takes_both_ways(skewed, many):
     assert rows(lookup_join(skewed, many, ["k"])) == plain
     assert rows(lookup_join(skewed, many, ["k"], max_rows=5)) == plain
     assert rows(lookup_join(skewed, many, ["k"], max_rows=5, derived=True)) == plain
+    assert rows(lookup_join(skewed, many, ["k"], max_rows=5, settle=True)) == plain
+
+
+def test_broadcast_bound_counts_rows_and_bytes(spark, many):
     assert fits_broadcast(many, 400) and not fits_broadcast(many, 399)
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"), F.array("id").alias("a"))
+    assert fits_broadcast(wide, 10, 11_000) and not fits_broadcast(wide, 10, 10_000)
+    assert fits_broadcast(many.where("false"), 1)
 
 
 def test_join_on_pairs_drops_the_right_keys(spark):

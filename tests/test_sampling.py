@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from coppice.functions import bag_weight, poisson1
+from coppice.functions import bag_weight, out_of_bag, poisson1
 from coppice.operators.sampling import bag_weights, holdout_split, kfold_assign
 
 
@@ -44,6 +44,12 @@ def test_poisson_quantiles(spark, u, k):
     assert spark.range(1).select(poisson1(F.lit(u))).first()[0] == k
 
 
+def test_out_of_bag_means_weight_zero(spark):
+    df = spark.range(5000)
+    for b in (0, 3, 7):
+        assert df.where((bag_weight(["id"], b, 2) == 0) != out_of_bag(["id"], b, 2)).count() == 0
+
+
 def test_ids_may_span_columns(spark):
     df = spark.range(100).select((F.col("id") % 10).alias("a"), F.floor(F.col("id") / 10).alias("b"))
     assert df.select(bag_weight(["a", "b"], 0)).distinct().count() > 1
