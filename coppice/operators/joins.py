@@ -44,11 +44,14 @@ def fits_broadcast(
 def heavy_keys(df: DataFrame, keys: list[str], max_keys: int = HOT_KEYS) -> DataFrame:
     """Keys holding more than ``1/max_keys`` of the rows (fewer than ``max_keys`` of them).
 
-    The counts combine on the map side, so a hot key costs one row per task here.
+    The counts combine on the map side, so a hot key costs one row per task here. The keys
+    found pass through the driver, which their bound allows: the plans using them then do
+    not count again.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
-    return counts.where(F.col("__n") * max_keys > total).select(*keys)
+    hot = counts.where(F.col("__n") * max_keys > total).select(*keys)
+    return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
 def _keep(df: DataFrame, marker: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -75,11 +78,10 @@ def spread_join(
     keys: list[str],
     how: str = "left",
     unique_right: bool = False,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which no key's rows all meet in one task.
 
-    Rows of hot keys (and of a hot null key) leave the shuffle join. With ``unique_right``
+    Without hot keys this is the plain join. Rows of hot keys (and of a hot null key) leave the shuffle join. With ``unique_right``
     the hot rows of the right side are at most ``HOT_KEYS`` and are broadcast, so hot left
     rows are not shuffled at all. Otherwise rows of keys hot on the left are salted there
     and repeated on the right, rows of keys hot on the right only the other way round.
@@ -88,7 +90,9 @@ def spread_join(
         raise ValueError(f"unsupported join type {how!r}")
     if how in {"left_semi", "left_anti"}:
         right, unique_right = right.select(*keys).distinct(), True
-    hot = heavy_keys(left, keys) if hot is None else hot
+    hot = heavy_keys(left, keys)
+    if unique_right and hot.isEmpty():
+        return left.join(right, keys, how)
     hot_left = _keep(left, hot, keys, "left_semi")
     hot_right = _keep(right, hot, keys, "left_semi")
     cold_left = _keep(left, hot, keys, "left_anti")
@@ -100,6 +104,9 @@ def spread_join(
 
     warm = _salted_join(hot_left, hot_right, keys, how, salted_first=True)
     right_hot = heavy_keys(cold_right.dropna(subset=keys), keys)
+    if right_hot.isEmpty():
+        rest = cold_left.join(cold_right, keys, how)
+        return left.join(right, keys, how) if hot.isEmpty() else rest.unionByName(warm)
     # every left row with such a key has partners, so an inner join is exact for them
     crowded = _salted_join(
         _keep(cold_right, right_hot, keys, "left_semi"),
