@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_SPLIT = 10_000
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -25,6 +27,11 @@ def build_session(app_name: str = "coppice", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="coppice-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the session.
 
@@ -36,9 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_CONF} to a shared folder before staging tables")
-    made = tempfile.mkdtemp(prefix="coppice-")
-    spark.conf.set(_CHECKPOINT_CONF, made)
-    return made
+    return _local_dir()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -52,15 +57,21 @@ def stage(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFram
     Cuts the lineage with a copy that outlives executors, and, unlike ``checkpoint()``,
     keeps column pruning and filter pushdown for every later pass. ``spread=True`` rewrites
     a table with fewer scan splits than cores (small by definition: under one split per
-    core) so that model fitting can use the whole cluster.
+    core) into more files, so that model fitting can use the whole cluster, but not into
+    files of fewer than ``ROWS_PER_SPLIT`` rows.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if spread and staged.rdd.getNumPartitions() < cores:
-        wide_path = new_path(spark, f"{label}-spread")
-        staged.repartition(cores).write.parquet(wide_path)
-        staged = spark.read.schema(df.schema).parquet(wide_path)
+    if not spread:
+        return staged
+    splits = staged.rdd.getNumPartitions()
+    if splits < cores:
+        wanted = min(cores, staged.count() // ROWS_PER_SPLIT)
+        if wanted > splits:
+            wide_path = new_path(spark, f"{label}-spread")
+            staged.repartition(wanted).write.parquet(wide_path)
+            staged = spark.read.schema(df.schema).parquet(wide_path)
     return staged

@@ -45,8 +45,23 @@ def test_staged_tables_live_in_the_shared_folder(spark):
     assert df.count() == 10
     assert all(shared_dir(spark) in f for f in df.inputFiles())
     assert new_path(spark, "x") != new_path(spark, "x")
-    wide = stage(spark.range(100).coalesce(1), "x", spread=True)
+    wide = stage(spark.range(100_000).coalesce(1), "x", spread=True)
     assert wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert stage(spark.range(100).coalesce(1), "x", spread=True).rdd.getNumPartitions() == 1
+
+
+class FakeSession:
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_shared_folder_comes_from_the_session():
+    assert shared_dir(FakeSession("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    local = FakeSession("local[2]")
+    assert shared_dir(local) == shared_dir(local) != ""
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(FakeSession("yarn"))
 
 
 def test_staging_keeps_pushdown(spark):
