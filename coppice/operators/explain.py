@@ -32,9 +32,26 @@ def expr_scorer(expression: str) -> Scorer:
 # ---------------------------------------------------------------- permutation importance
 
 
-def block_count(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> int:
+def require_row_ids(df: DataFrame, ids: list[str]) -> int:
+    """Number of rows; raises if the ids are shared by many rows.
+
+    Hashes of the ids decide where a row goes, so an id held by a large share of the rows
+    would put them all in one block and one bag. One pass with a mergeable estimate, no
+    shuffle of the ids.
+    """
+    estimate = F.approx_count_distinct(F.xxhash64(*ids), 0.02)
+    row = df.agg(F.count(F.lit(1)).alias("n"), estimate.alias("ids")).first()
+    if row["ids"] < 0.8 * row["n"]:
+        raise ValueError(
+            f"{ids} do not identify rows: about {row['ids']} values for {row['n']} rows; "
+            "name more id columns, or none to have the rows numbered by prepare()"
+        )
+    return row["n"]
+
+
+def block_count(df: DataFrame, ids: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> int:
     """Number of permutation blocks that keeps a block at about ``rows_per_block`` rows."""
-    return max(2, math.ceil(df.count() / rows_per_block))
+    return max(2, math.ceil(require_row_ids(df, ids) / rows_per_block))
 
 
 def with_permuted(
@@ -102,7 +119,7 @@ def permutation_importance(
     The blocks are the repeats. The table is partitioned by block once; variants, scores and
     the errors per block all stay inside that partitioning.
     """
-    blocks = blocks or block_count(df)
+    blocks = blocks or block_count(df, ids)
     needed = list(dict.fromkeys([*ids, *features, label]))
     variants = permuted_variants(
         with_permuted(df.select(*needed), ids, features, blocks, seed), features

@@ -24,11 +24,19 @@ from pyspark.sql import functions as F
 from coppice.functions import bag_weight, out_of_bag, safe_ratio
 from coppice.operators.encode import CategoryEncoder
 from coppice.operators.evaluate import fit_metrics
-from coppice.operators.explain import BASELINE, Scorer, block_count, permuted_variants, with_permuted
+from coppice.operators.explain import (
+    BASELINE,
+    Scorer,
+    block_count,
+    permuted_variants,
+    require_row_ids,
+    with_permuted,
+)
 from coppice.session import stage
 
 _FEATURES = "__features"
 _MAX_DEPTH = 30
+MODELS_PER_PASS = 10
 
 
 @dataclass(frozen=True)
@@ -95,7 +103,7 @@ def prepare(
     df: DataFrame,
     label: str,
     features: Sequence[str],
-    ids: Sequence[str],
+    ids: Sequence[str] = (),
     categorical: Sequence[str] = (),
     carried: Sequence[str] = (),
 ) -> ModelTable:
@@ -103,7 +111,9 @@ def prepare(
 
     ``ids`` identify a row and are never predictors unless also listed as features;
     ``carried`` columns only travel along. An id that is a feature too is kept in its
-    original form under ``__id_<name>``.
+    original form under ``__id_<name>``. Without ids the rows are numbered as they are
+    staged: the numbers are stored, hence stable for all later passes, but a new call may
+    number the rows differently.
     """
     features, carried = list(features), list(carried)
     missing = [c for c in [label, *features, *ids, *carried] if c not in df.columns]
@@ -116,11 +126,20 @@ def prepare(
         *[F.col(c).alias(n) for c, n in id_names.items()],
         *[F.col(c).alias(n) for c, n in kept.items() if n not in id_names.values()],
     )
-    encoder = CategoryEncoder.fit(chosen, list(categorical)) if categorical else None
-    coded = encoder.transform(chosen) if encoder else chosen
+    encoder, coded = None, chosen
+    if categorical:
+        # learning the levels and coding are two passes: do not build the table twice
+        chosen = stage(chosen, "uncoded", spread=True)
+        encoder = CategoryEncoder.fit(chosen, list(categorical))
+        coded = encoder.transform(chosen)
     numeric = coded.withColumns({c: F.col(c).cast("double") for c in [label, *features]})
+    if not ids:
+        numeric = numeric.withColumn("__row", F.monotonically_increasing_id())
+        id_names = {"__row": "__row"}
     staged = stage(numeric, "model-table", spread=True)
-    return ModelTable(staged, label, features, list(id_names.values()), encoder, list(kept.values()))
+    row_ids = list(id_names.values())
+    require_row_ids(staged, row_ids)
+    return ModelTable(staged, label, features, row_ids, encoder, list(kept.values()))
 
 
 def workflow(table: ModelTable, spec: ForestSpec) -> Pipeline:
@@ -278,7 +297,7 @@ def forest_importance(
     partial mean per variable and task; one number per variable returns to the driver.
     """
     spark = table.df.sparkSession
-    blocks = blocks or block_count(table.df)
+    blocks = blocks or block_count(table.df, table.ids)
     needed = table.df.select(*table.ids, *table.features, table.label)
     permuted = stage(
         with_permuted(needed, table.ids, table.features, blocks, seed).drop("__block"),
@@ -321,20 +340,27 @@ def score_models(
 ) -> DataFrame:
     """Predictions of several stored models on a new table, long by ``model``.
 
-    All models score in one pass over the rows, which are then expanded by model.
+    Up to ``MODELS_PER_PASS`` models score in one pass over the rows, which are then
+    expanded by model; more models would make the plan unwieldy and take further passes.
     """
-    names = {k: f"__m{k}" for k in scorers}
-    for key, score in scorers.items():
-        df = score(df).withColumnRenamed("prediction", names[key])
-    entries = F.array(
-        *[
-            F.struct(F.lit(int(k)).alias("model"), F.col(n).alias("predicted"))
-            for k, n in names.items()
-        ]
-    )
-    return df.select(
-        *carried, F.col(response).alias("observed"), F.explode(entries).alias("__e")
-    ).select("__e.model", "observed", "__e.predicted", *carried)
+    keys, parts = list(scorers), []
+    for start in range(0, len(keys), MODELS_PER_PASS):
+        names = {k: f"__m{k}" for k in keys[start : start + MODELS_PER_PASS]}
+        scored = df
+        for key, name in names.items():
+            scored = scorers[key](scored).withColumnRenamed("prediction", name)
+        entries = F.array(
+            *[
+                F.struct(F.lit(int(k)).alias("model"), F.col(n).alias("predicted"))
+                for k, n in names.items()
+            ]
+        )
+        parts.append(
+            scored.select(
+                *carried, F.col(response).alias("observed"), F.explode(entries).alias("__e")
+            ).select("__e.model", "observed", "__e.predicted", *carried)
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fit_per_group(
@@ -351,10 +377,12 @@ def fit_per_group(
     """One forest per value of ``group`` (a replicate number, so few values).
 
     The groups are fitted as separate distributed jobs over one encoded, staged table; no
-    group is ever brought to a single task, however unequal their sizes.
+    group is ever brought to a single task, however unequal their sizes. ``ids`` need to
+    identify a row within its group only.
     """
-    table = prepare(df, label, features, ids, categorical, [group, *carried])
-    column = table.carried[0]
+    row_ids = [group, *ids] if ids else []
+    table = prepare(df, label, features, row_ids, categorical, [*carried] if ids else [group, *carried])
+    column = table.ids[0] if ids else table.carried[0]
     keys = [r[0] for r in table.df.select(column).distinct().orderBy(column).collect()]
     tables = {k: replace(table, df=table.df.where(F.col(column) == F.lit(k))) for k in keys}
     fits = run_all(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -64,12 +64,33 @@ def _keep(df: DataFrame, marker: DataFrame, keys: list[str], how: str) -> DataFr
 def _salted_join(
     salted: DataFrame, repeated: DataFrame, keys: list[str], how: str, salted_first: bool
 ) -> DataFrame:
-    """Join with one side spread over ``SALTS`` by a hash of its row, the other repeated."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in salted.columns]), F.lit(SALTS))
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    one, many = salted.withColumn("__salt", salt), repeated.withColumn("__salt", copies)
-    pair = (one, many) if salted_first else (many, one)
-    return pair[0].join(pair[1], [*keys, "__salt"], how).drop("__salt")
+    """Join with one side spread over ``SALTS``, the other repeated once per salt.
+
+    Rows are spread by a hash of all their columns, which is the same on every attempt of a
+    task. Equal rows would share that hash, so copies are counted first and their number is
+    dealt out over the salts; the copies come back after the join.
+    """
+    columns = salted.columns
+    named = [F.col(f"`{c}`") for c in columns]
+    counted = salted.groupBy(*named).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.floor(F.col("__n") / SALTS) + (F.col("__turn") < F.col("__n") % SALTS).cast("bigint")
+    dealt = (
+        counted.withColumn("__turn", F.explode(_numbers(F.least(F.col("__n"), F.lit(SALTS)))))
+        .withColumn("__copies", share)
+        .withColumn("__salt", F.pmod(F.xxhash64(*named) + F.col("__turn"), F.lit(SALTS)))
+        .drop("__n", "__turn")
+    )
+    many = repeated.withColumn("__salt", F.explode(_numbers(F.lit(SALTS))))
+    pair = (dealt, many) if salted_first else (many, dealt)
+    joined = pair[0].join(pair[1], [*keys, "__salt"], how)
+    return joined.withColumn("__copy", F.explode(_numbers(F.col("__copies")))).drop(
+        "__salt", "__copies", "__copy"
+    )
+
+
+def _numbers(n: Column) -> Column:
+    """Array of the numbers from 0 to ``n - 1``."""
+    return F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)
 
 
 def spread_join(
@@ -83,7 +104,7 @@ def spread_join(
 
     Without hot keys this is the plain join. Rows of hot keys (and of a hot null key) leave the shuffle join. With ``unique_right``
     the hot rows of the right side are at most ``HOT_KEYS`` and are broadcast, so hot left
-    rows are not shuffled at all. Otherwise rows of keys hot on the left are salted there
+    rows are not shuffled at all. Otherwise the rows of keys hot on the left are salted there
     and repeated on the right, rows of keys hot on the right only the other way round.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:

@@ -98,8 +98,14 @@ def test_importance_shuffles_the_table_once(spark, planted):
 
 
 def test_block_count_grows_with_the_rows(spark):
-    assert block_count(spark.range(95), 10) == 10
-    assert block_count(spark.range(5), 10) == 2
+    assert block_count(spark.range(95), ["id"], 10) == 10
+    assert block_count(spark.range(5), ["id"], 10) == 2
+
+
+def test_shared_ids_are_refused(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(ValueError, match="do not identify rows"):
+        block_count(df, ["id"])
 
 
 def test_score_models_is_one_pass(spark, planted):
@@ -107,4 +113,7 @@ def test_score_models_is_one_pass(spark, planted):
     out = score_models(scorers, planted, "y", ["id"])
     assert out.columns == ["model", "observed", "predicted", "id"]
     assert out.count() == 6000
+    many = {m: expr_scorer(f"a + {m}") for m in range(23)}
+    wide = score_models(many, planted, "y").groupBy("model").agg(F.count("predicted").alias("n"))
+    assert sorted((r.model, r.n) for r in wide.collect()) == [(m, 3000) for m in range(23)]
     assert out.where("model = 2").join(planted, "id").where("predicted <> b").count() == 0

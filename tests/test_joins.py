@@ -69,11 +69,13 @@ def test_heavy_keys_are_few_and_contain_the_hot_one(skewed):
     assert found == {1, None}
 
 
-def test_hot_rows_are_spread_over_salts(spark):
-    hot = spark.range(10_000).select(F.lit(1).cast("bigint").alias("k"), F.col("id").alias("x"))
-    salt = F.pmod(F.xxhash64("k", "x"), F.lit(joins.SALTS))
-    sizes = [r["count"] for r in hot.groupBy(salt).count().collect()]
-    assert len(sizes) == joins.SALTS and max(sizes) < 10_000 / 16
+@pytest.mark.parametrize("copies", [1, 63, 64, 1000])
+def test_copies_come_back_whole(spark, copies):
+    hot = spark.range(copies).select(F.lit(1).alias("k"), F.lit("same").alias("x"))
+    right = spark.range(3).select(F.lit(1).alias("k"), F.col("id").alias("z"))
+    plain = rows(hot.join(right, ["k"], "left"))
+    assert rows(joins._salted_join(hot, right, ["k"], "left", True)) == plain
+    assert rows(joins._salted_join(hot, right, ["k"], "inner", False)) == plain
 
 
 def test_lookup_join_takes_both_ways(skewed, many):
