@@ -73,6 +73,4 @@ def r2_out_of_bag(predicted: ColumnLike, observed: ColumnLike) -> Column:
     """Aggregate ``1 - mse / var_samp(observed)`` over rows that have a prediction."""
     p, o = _col(predicted), _col(observed)
     seen = F.when(p.isNotNull(), o)
-    # try_variance does not exist; a single row has no sample variance, which stays null
-    variance = F.when(F.count(seen) > 1, F.var_samp(seen))
-    return F.lit(1.0) - F.try_divide(mse(p, o), variance)
+    return F.lit(1.0) - F.try_divide(mse(p, o), F.var_samp(seen))

@@ -10,6 +10,7 @@ from coppice.operators.evaluate import boxplot_stats
 from coppice.operators.features import minmax_rescale
 from coppice.operators.joins import lookup_join
 from coppice.operators.reshape import stack_filling, top_k
+from coppice.session import stage
 
 
 def mean_importance(importance: DataFrame, value: str = "importance") -> DataFrame:
@@ -58,7 +59,7 @@ def importance_chart(
     drop_negative: bool = False,
 ) -> DataFrame:
     """Bars and boxes of the top variables: one row per variable."""
-    top = top_variables(importance, k, value)
+    top = stage(top_variables(importance, k, value), "top")
     rows = keep_top(importance, top)
     if drop_negative:
         rows = rows.where(F.col(value) >= 0)

@@ -106,6 +106,7 @@ def prepare(
     ids: Sequence[str] = (),
     categorical: Sequence[str] = (),
     carried: Sequence[str] = (),
+    cluster_by: str | None = None,
 ) -> ModelTable:
     """Select by role, encode categories, cast to double, and stage.
 
@@ -113,7 +114,9 @@ def prepare(
     ``carried`` columns only travel along. An id that is a feature too is kept in its
     original form under ``__id_<name>``. Without ids the rows are numbered as they are
     staged: the numbers are stored, hence stable for all later passes, but a new call may
-    number the rows differently.
+    number the rows differently. ``cluster_by`` names an id or carried column that later
+    passes filter on: its values are kept together inside each file, so that such a pass
+    skips the pages of other values.
     """
     features, carried = list(features), list(carried)
     missing = [c for c in [label, *features, *ids, *carried] if c not in df.columns]
@@ -136,7 +139,9 @@ def prepare(
     if not ids:
         numeric = numeric.withColumn("__row", F.monotonically_increasing_id())
         id_names = {"__row": "__row"}
-    staged = stage(numeric, "model-table", spread=True)
+    if cluster_by:
+        numeric = numeric.sortWithinPartitions({**id_names, **kept}[cluster_by])
+    staged = stage(numeric, "model-table", spread=cluster_by is None)
     row_ids = list(id_names.values())
     require_row_ids(staged, row_ids)
     return ModelTable(staged, label, features, row_ids, encoder, list(kept.values()))
@@ -381,7 +386,8 @@ def fit_per_group(
     identify a row within its group only.
     """
     row_ids = [group, *ids] if ids else []
-    table = prepare(df, label, features, row_ids, categorical, [*carried] if ids else [group, *carried])
+    others = [*carried] if ids else [group, *carried]
+    table = prepare(df, label, features, row_ids, categorical, others, cluster_by=group)
     column = table.ids[0] if ids else table.carried[0]
     keys = [r[0] for r in table.df.select(column).distinct().orderBy(column).collect()]
     tables = {k: replace(table, df=table.df.where(F.col(column) == F.lit(k))) for k in keys}

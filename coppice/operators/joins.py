@@ -73,7 +73,8 @@ def _salted_join(
     columns = salted.columns
     named = [F.col(f"`{c}`") for c in columns]
     counted = salted.groupBy(*named).agg(F.count(F.lit(1)).alias("__n"))
-    share = F.floor(F.col("__n") / SALTS) + (F.col("__turn") < F.col("__n") % SALTS).cast("bigint")
+    rest = (F.col("__turn") < F.col("__n") % SALTS).cast("bigint")
+    share = F.floor(F.col("__n") / SALTS) + rest
     dealt = (
         counted.withColumn("__turn", F.explode(_numbers(F.least(F.col("__n"), F.lit(SALTS)))))
         .withColumn("__copies", share)
@@ -102,10 +103,11 @@ def spread_join(
 ) -> DataFrame:
     """Equi-join in which no key's rows all meet in one task.
 
-    Without hot keys this is the plain join. Rows of hot keys (and of a hot null key) leave the shuffle join. With ``unique_right``
-    the hot rows of the right side are at most ``HOT_KEYS`` and are broadcast, so hot left
-    rows are not shuffled at all. Otherwise the rows of keys hot on the left are salted there
-    and repeated on the right, rows of keys hot on the right only the other way round.
+    Without hot keys this is the plain join. Rows of hot keys (and of a hot null key) leave
+    the shuffle join. With ``unique_right`` the hot rows of the right side are at most
+    ``HOT_KEYS`` and are broadcast, so hot left rows are not shuffled at all. Otherwise the
+    rows of keys hot on the left are salted there and repeated on the right, rows of keys
+    hot on the right only the other way round.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"unsupported join type {how!r}")

@@ -22,6 +22,7 @@ from coppice.operators.forest import (
     forest_importance,
     oob_predictions,
     replicate_metrics,
+    run_all,
     score_models,
 )
 from coppice.session import stage
@@ -136,11 +137,13 @@ def run_difference_study(
     fits = fit_per_group(
         rows, model, label, features, ids, spec, categorical, parallelism=parallelism
     )
-    predictions, importance, forests = [], [], []
-    for table, forest in fits.values():
-        predictions.append(oob_predictions([forest], table))
-        importance.append(forest_importance([forest], table))
-        forests.append(forest)
+    forests = [forest for _, forest in fits.values()]
+    predictions = [oob_predictions([forest], part) for part, forest in fits.values()]
+    importance = run_all(
+        rows.sparkSession,
+        [lambda p=p, f=f: forest_importance([f], p, parallelism=1) for p, f in fits.values()],
+        parallelism,
+    )
     table = next(iter(fits.values()))[0]
     oob = stage(reduce(DataFrame.unionByName, predictions), "difference-oob")
     weights = stage(reduce(DataFrame.unionByName, importance), "difference-importance")

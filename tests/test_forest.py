@@ -40,7 +40,7 @@ def forests(table):
     return fit_replicates(table, SPEC, [1, 2], parallelism=8)
 
 
-def test_spec_maps_to_the_estimator():
+def test_spec_maps_to_the_estimator(spark):
     assert ForestSpec(trees=7, bags=3).bag_sizes() == [3, 2, 2]
     assert ForestSpec(trees=2, bags=20).bag_sizes() == [1, 1]
     one = ForestSpec(mtry=1, min_node=6).estimator(9, 4, 0)
