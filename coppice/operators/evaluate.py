@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.functions import mse, r2_explained, r2_out_of_bag, rmse
@@ -103,10 +105,10 @@ def _large_group_quantiles(
 ) -> DataFrame:
     """Exact quantiles of groups too large for one task.
 
-    The sketch bounds the values between which a rank lies. Values below the bracket are
-    only counted, values inside are kept with their multiplicities (copies collapse before
-    the shuffle). The bracket, about n / 1,250 rows wide, is cut into bins whose totals
-    locate the rank, and only the bins holding it are put in order.
+    The sketch bounds the values between which a rank lies. One pass counts the values below
+    each bracket, another keeps the values inside with their multiplicities (copies collapse
+    before the shuffle). The bracket, about n / 1,250 rows wide, is cut into bins whose
+    totals locate the rank, and only the bins holding it are put in order.
     """
     wanted: list[float] = []
     for p in probabilities:
@@ -133,20 +135,36 @@ def _large_group_quantiles(
         )
     brackets = sketch.select(by, "n", F.array(*entries).alias("__brackets"))
     marked = lookup_join(known, brackets, [by], "inner", True, max_rows, derived=True)
-    reach = F.filter("__brackets", lambda b: F.col("__v") <= b["high"])
-    v, b = F.col("__v"), F.col("__b")
+    v, b, every = F.col("__v"), F.col("__b"), range(len(probabilities))
+
+    def bracket(i: int) -> Column:
+        return F.col("__brackets")[i]
+
+    below = marked.groupBy(by).agg(
+        *[F.count_if(v < bracket(i)["low"]).alias(f"__below{i}") for i in every]
+    )
+    entries = [
+        F.struct(F.lit(float(p)).alias("prob"), F.col(f"__below{i}").alias("__below"))
+        for i, p in enumerate(probabilities)
+    ]
+    below = below.select(by, F.explode(F.array(*entries)).alias("__e")).select(by, "__e.*")
+
+    hit = reduce(
+        lambda x, y: x | y, [(v >= bracket(i)["low"]) & (v <= bracket(i)["high"]) for i in every]
+    )
+    around = F.filter("__brackets", lambda x: (v >= x["low"]) & (v <= x["high"]))
     place = F.floor(F.try_divide(v - b["low"], b["high"] - b["low"]) * _BINS)
-    inside = v >= b["low"]
     counted = stage(
-        marked.select(by, "n", "__v", F.explode(reach).alias("__b"))
+        marked.where(hit)
+        .select(by, "n", "__v", F.explode(around).alias("__b"))
         .select(
             by,
             "n",
+            "__v",
             b["prob"].alias("prob"),
             b["rank"].alias("rank"),
             b["part"].alias("part"),
-            F.when(inside, F.coalesce(place, F.lit(0))).otherwise(F.lit(-1)).alias("bin"),
-            F.when(inside, v).alias("__v"),
+            F.coalesce(place, F.lit(0)).alias("bin"),
         )
         .groupBy(by, "n", "prob", "rank", "part", "bin", "__v")
         .agg(F.count(F.lit(1)).alias("__m")),
@@ -154,10 +172,10 @@ def _large_group_quantiles(
     )
     upper_rank = F.least(F.col("rank") + 1, F.col("n") - 1)
     along = Window.partitionBy(by, "prob").orderBy("bin")
+    sizes = counted.groupBy(by, "n", "prob", "rank", "bin").agg(F.sum("__m").alias("__size"))
     bins = (
-        counted.groupBy(by, "n", "prob", "rank", "bin")
-        .agg(F.sum("__m").alias("__size"))
-        .withColumn("__base", F.sum("__size").over(along) - F.col("__size"))
+        lookup_join(sizes, below, [by, "prob"], "inner", True, max_rows, derived=True)
+        .withColumn("__base", F.col("__below") + F.sum("__size").over(along) - F.col("__size"))
         .where((F.col("__base") <= upper_rank) & (F.col("rank") < F.col("__base") + F.col("__size")))
         .select(by, "prob", "bin", "__base")
     )

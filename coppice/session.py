@@ -51,6 +51,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/coppice/{label}-{uuid.uuid4().hex}"
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deal the rows of an under-split scan over all cores; a larger scan is left alone.
+
+    Only for tables straight from storage: asking a plan with shuffles for its number of
+    partitions would run it. For work that costs far more per row than moving the row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def stage(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

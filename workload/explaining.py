@@ -16,6 +16,7 @@ from coppice.operators.explain import (
     permutation_importance,
 )
 from coppice.operators.forest import score_models
+from coppice.session import spread_scan
 from workload.registry import query, sql_hash, table
 from workload.results import rounded
 
@@ -23,6 +24,11 @@ _INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _VARIED = ["l_quantity", "l_discount", "l_tax"]
 
 
+def _line_items(spark, d) -> DataFrame:
+    """The scorer's inputs, on all cores: a row is expanded to as many rows as grid points."""
+    return spread_scan(table(spark, d, "lineitem").select(*_INPUTS))
+
+
 def _formula(q="l_quantity", p="l_extendedprice", d="l_discount", t="l_tax", scale="2.0D"):
     return f"{scale} * {q} + 0.001D * {p} * {d} + {q} * {t}"
 
@@ -71,7 +77,7 @@ def _pdp_sql(points: str, scale: str = "2.0") -> str:
         select variable, grid_index, round(value, 6) as value, round(yhat, 5) as yhat from c""",
 )
 def dependence(spark, d):
-    rows = table(spark, d, "lineitem")
+    rows = _line_items(spark, d)
     curves = partial_dependence(rows, expr_scorer(_formula()), grid_values(rows, _VARIED), _INPUTS)
     return curves.select(
         "variable", "grid_index", F.round("value", 6).alias("value"), F.round("yhat", 5).alias("yhat")
@@ -79,7 +85,7 @@ def dependence(spark, d):
 
 
 def _three_models(spark, d) -> DataFrame:
-    rows = table(spark, d, "lineitem")
+    rows = _line_items(spark, d)
     grid = grid_values(rows, _VARIED, 20)
     return reduce(
         DataFrame.unionByName,
@@ -116,7 +122,7 @@ def averaged(spark, d):
         from c window v as (partition by variable)""",
 )
 def strip(spark, d):
-    rows = table(spark, d, "lineitem")
+    rows = _line_items(spark, d)
     grid = grid_values(rows, _VARIED, 20)
     curves = partial_dependence(rows, expr_scorer(_formula()), grid, _INPUTS)
     return dependence_strip(curves).select(
