@@ -22,6 +22,8 @@ from workload.results import rounded
 
 _INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _VARIED = ["l_quantity", "l_discount", "l_tax"]
+# Means are compared at seven digits: at fewer, a mean of these two-digit values can sit
+# exactly on a rounding tie, which the order of summation would then decide.
 
 
 def _line_items(spark, d) -> DataFrame:
@@ -74,13 +76,13 @@ def _pdp_sql(points: str, scale: str = "2.0") -> str:
 @query(
     "partial_dependence_expr",
     f"""with c as ({_pdp_sql(_DEFAULT_POINTS)})
-        select variable, grid_index, round(value, 6) as value, round(yhat, 5) as yhat from c""",
+        select variable, grid_index, round(value, 6) as value, round(yhat, 7) as yhat from c""",
 )
 def dependence(spark, d):
     rows = _line_items(spark, d)
     curves = partial_dependence(rows, expr_scorer(_formula()), grid_values(rows, _VARIED), _INPUTS)
     return curves.select(
-        "variable", "grid_index", F.round("value", 6).alias("value"), F.round("yhat", 5).alias("yhat")
+        "variable", "grid_index", F.round("value", 6).alias("value"), F.round("yhat", 7).alias("yhat")
     )
 
 
@@ -102,7 +104,7 @@ _THREE_SQL = " union all ".join(_pdp_sql("20", f"{m}.0") for m in (1, 2, 3))
 @query(
     "pdp_average",
     f"""with c as ({_THREE_SQL})
-        select variable, grid_index, round(value, 6) as value, round(avg(yhat), 5) as mean_yhat
+        select variable, grid_index, round(value, 6) as value, round(avg(yhat), 7) as mean_yhat
         from c group by variable, grid_index, value""",
 )
 def averaged(spark, d):
@@ -110,14 +112,14 @@ def averaged(spark, d):
         "variable",
         "grid_index",
         F.round("value", 6).alias("value"),
-        F.round("mean_yhat", 5).alias("mean_yhat"),
+        F.round("mean_yhat", 7).alias("mean_yhat"),
     )
 
 
 @query(
     "pdp_strip",
     f"""with c as ({_pdp_sql("20")})
-        select variable, grid_index, round(yhat, 5) as yhat,
+        select variable, grid_index, round(yhat, 7) as yhat,
                round((value - min(value) over v) / (max(value) over v - min(value) over v), 6) as x_rescaled
         from c window v as (partition by variable)""",
 )
@@ -126,7 +128,7 @@ def strip(spark, d):
     grid = grid_values(rows, _VARIED, 20)
     curves = partial_dependence(rows, expr_scorer(_formula()), grid, _INPUTS)
     return dependence_strip(curves).select(
-        "variable", "grid_index", F.round("yhat", 5).alias("yhat"), F.round("x_rescaled", 6).alias("x_rescaled")
+        "variable", "grid_index", F.round("yhat", 7).alias("yhat"), F.round("x_rescaled", 6).alias("x_rescaled")
     )
 
 
