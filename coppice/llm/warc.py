@@ -66,6 +66,7 @@ def write_archives(
     )
     large = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).select("id", "digest")
     kept = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    kept = stage(kept.drop("n"), "kept-payloads")  # joined from a table, a payload that many pages share can be split
     revisits = large.join(kept, "digest").filter(~F.col("id").eqNullSafe(F.col("refers_to")))
     revisits = revisits.select(
         F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to"
