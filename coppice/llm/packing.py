@@ -10,52 +10,95 @@ slots by joining on length and rank within length.
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections import defaultdict
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from coppice.llm.common import arrow_map, stage, utf8
 
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 300_000
+#: Words whose ids a worker remembers in a generation.
+REMEMBERED_WORDS = 500_000
 #: Rows of a plan range that one task spreads, and pieces that are ranked together.
 SLOTS_PER_CHUNK = 50_000
 
-_encoders: dict[str, tuple] = {}
-
-
-def _encoder(path: str):
-    """(encode function of a word list, memory) of a tokenizer file, one for each worker."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        _encoders[path] = (Tokenizer.from_file(path), {"": b""})
-    return _encoders[path]
+_encoders: dict[str, _Encoder] = {}
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign by which a byte-level vocabulary writes each byte: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
+class _Encoder:
+    """Ids of words; the words of late are remembered, in two generations."""
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.stops = {s: struct.pack("<I", t[0].id) if (t := self.model.tokenize(s)) else b"" for s in ("", ".", ",")}
+        self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
+
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of letters, and perhaps a stop or comma, which the tokenizer would only lower; None for other words."""
+        letters, stop = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+        low = letters.lower()
+        if not low.isalpha() or len(low) != len(letters) or "\u03a3" in letters:
+            return None
+        if not low.isascii():
+            if not (is_normalized("NFC", letters) and is_normalized("NFC", low)):
+                return None
+            low = low.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        ids = [t.id for t in self.model.tokenize(low)]
+        return struct.pack(f"<{len(ids)}I", *ids) + self.stops[stop]
+
+    def ids(self, words: list[str]) -> bytes:
+        new = set(words).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > REMEMBERED_WORDS:
+                self.before, self.known = self.known, {"": b""}
+                new = set(words).difference(self.known)
+            old = new.intersection(self.before)
+            self.known.update((w, self.before[w]) for w in old)
+            rest = []
+            for w in new - old:
+                ids = self._plain(w)
+                if ids is None:
+                    rest.append(w)
+                else:
+                    self.known[w] = ids
+            for a in range(0, len(rest), 10_000):
+                part = rest[a : a + 10_000]
+                found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                own = np.array(found.ids, dtype="<u4").tobytes()
+                end = (np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))) * 4).tolist()
+                self.known.update(zip(part, map(own.__getitem__, map(slice, [0, *end], end)), strict=False))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def encode_text(text: str, path: str) -> bytes:
     """Little-endian 32-bit ids of a text, without special tokens.
 
-    The tokenizer never joins anything across a space or line break, and drops both, so the
+    The tokenizer lower-cases, never joins anything across a space or line break, and drops both, so the
     parts between them are encoded once each and remembered.
     """
-    tokenizer, memory = _encoder(path)
-    words = text.replace("\n", " ").split(" ")
-    new = [w for w in set(words) if w not in memory]
-    if new:
-        if len(memory) + len(new) > REMEMBERED_WORDS:
-            memory.clear()
-            memory[""] = b""
-            new = [w for w in set(words) if w]
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memory[w] = np.array(e.ids, dtype="<u4").tobytes()
-    return b"".join([memory[w] for w in words])
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    if text.isascii():
+        text = text.lower()
+    return _encoders[path].ids(text.replace("\n", " ").split(" "))
 
 
 def token_pieces(

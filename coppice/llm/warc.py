@@ -215,7 +215,9 @@ def read_records(index: DataFrame, target: str) -> DataFrame:
         if file:
             file.close()
 
-    ordered = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # a number of its own: by size alone a small index would make one task of all its files
+    files = max(1, index.select("file").distinct().count())
+    ordered = index.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset")
     return arrow_map(
         ordered, fetch, "record_id string, warc_type string, digest string, payload_length long, refers_to string, body binary"
     )
