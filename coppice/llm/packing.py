@@ -70,11 +70,9 @@ class _Encoder:
             if len(self.known) + len(new) > REMEMBERED_WORDS:
                 self.before, self.known = self.known, {"": b""}
                 new = set(words).difference(self.known)
-            old = new.intersection(self.before)
-            self.known.update((w, self.before[w]) for w in old)
             rest = []
-            for w in new - old:
-                ids = self._plain(w)
+            for w in new:  # one by one: set methods would go through all that is remembered
+                ids = self.before[w] if w in self.before else self._plain(w)
                 if ids is None:
                     rest.append(w)
                 else:
