@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import arrow_map, utf8
+from coppice.llm.common import arrow_map, fresh, utf8
 
 #: Slots of the filters, probes of an n-gram, lengths of n-grams (with marks at both ends of a word).
 SLOTS = 1 << 20
@@ -194,4 +194,4 @@ def identify(docs: DataFrame, filters: LanguageFilters, extra: list[str], text_c
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
             )
 
-    return arrow_map(docs.select(*extra, utf8(text_col).alias("_utf8")), decide, schema)
+    return arrow_map(docs.select(*extra, utf8(text_col).alias(fresh(docs, "_utf8"))), decide, schema)

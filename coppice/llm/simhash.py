@@ -67,7 +67,7 @@ def with_fingerprint(docs: DataFrame, keep: list[str], text_col: str = "text", n
                 [*batch.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], name]
             )
 
-    return arrow_map(docs.select(*keep, utf8(text_col).alias("_utf8")), hashed, schema)
+    return arrow_map(docs.select(*keep, utf8(text_col).alias(fresh(docs, "_utf8"))), hashed, schema)
 
 
 def _posting_lists(fingerprints: DataFrame) -> DataFrame:
@@ -191,13 +191,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     chosen = placed.filter("id <=> component_id").groupBy("id", "root").agg(F.min("fingerprint").alias("kept"))
     shared = placed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select("id")
     shared = stage(shared, "shared-ids")
-    own = chosen.join(shared, "id", "left_anti").filter("id is not null").select(F.col("id").alias("_kept"))
-    single = docs.join(own, F.col(id_col) == F.col("_kept"), "left_semi")
-    again = chosen.join(shared.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")))
-    again = again.select("_id", "kept")
-    doubled = docs.join(shared.withColumnRenamed("id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    mark = fresh(docs, "_fingerprint")
+    name, print_, mark = (fresh(docs, c) for c in ("_id", "_kept", "_fingerprint"))
+    own = chosen.join(shared, "id", "left_anti").filter("id is not null").select(F.col("id").alias(name))
+    single = docs.join(own, F.col(id_col) == F.col(name), "left_semi")
+    shared = shared.withColumnRenamed("id", name)
+    again = chosen.join(shared, F.col("id").eqNullSafe(F.col(name))).select(name, F.col("kept").alias(print_))
+    doubled = docs.join(shared, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     marked = with_fingerprint(doubled, docs.columns, text_col, mark)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("kept"))
+    same = F.col(id_col).eqNullSafe(F.col(name)) & (F.col(mark) == F.col(print_))
     thinned = marked.join(again, same, "left_semi").dropDuplicates([id_col, mark]).select(docs.columns)
     return single.unionByName(thinned)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import arrow_map, utf8
+from coppice.llm.common import arrow_map, fresh, utf8
 from coppice.llm.sampling import labelled_texts
 
 #: Rows of the embedding table, and its width.
@@ -247,4 +247,4 @@ def toxic_scores(docs: DataFrame, model: ToxicityModel, extra: list[str], text_c
                 [*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], name]
             )
 
-    return arrow_map(docs.select(*extra, utf8(text_col).alias("_utf8")), score, schema)
+    return arrow_map(docs.select(*extra, utf8(text_col).alias(fresh(docs, "_utf8"))), score, schema)
