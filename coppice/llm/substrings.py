@@ -268,6 +268,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     known = runs.groupBy("anchor").agg(
         F.count("*").alias("_n"), (F.min("content") == F.max("content")).alias("same")
     ).filter("_n > 1").drop("_n")
+    known = stage(known, "known-anchors")  # joined from a table, an anchor that a third of all rows share can be split
     again = stage(runs.join(known, "anchor"), "shared-anchors")
     # runs of one anchor that differ: one of each kind is unfolded, with the number of its copies
     kinds = again.filter("not same").groupBy("anchor", "content").agg(
@@ -280,9 +281,11 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     one_row = source.join(listed, same_text).select("id", "text_hash", "_utf8", "runs")
     unfolded = stage(_windows(one_row).distinct(), "windows")
     twice = unfolded.groupBy("anchor", "window").agg(F.sum("copies").alias("_n")).filter("_n > 1").drop("_n")
+    twice = stage(twice, "known-windows")
     bits = unfolded.join(twice, ["anchor", "window"]).groupBy("anchor", "content").agg(
         F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")
     )
+    bits = stage(bits, "repeated-windows")
     whole = again.filter("same").withColumn("bits", F.expr("shiftleft(1L, n) - 1"))
     parts = again.filter("not same").join(bits, ["anchor", "content"])
     found = whole.select("id", "text_hash", "start", "bits").union(parts.select("id", "text_hash", "start", "bits"))
@@ -311,11 +314,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and texts shorter than a window keep all words. Rows may share ids. Columns of ``docs`` that are
     not named do not take part.
     """
-    found = repeated_windows(docs, id_col, text_col).withColumnsRenamed({"id": "_f_id", "text_hash": "_f_hash"})
+    found_id, found_hash = fresh(docs, "_found_id"), fresh(docs, "_found_hash")
+    found = repeated_windows(docs, id_col, text_col).withColumnsRenamed({"id": found_id, "text_hash": found_hash})
     carried = [c for c in dict.fromkeys([id_col, *keep]) if c != text_col]
     hash_col, body, spans = fresh(docs, "_hash"), fresh(docs, "_utf8"), fresh(docs, "_spans")
     rows = docs.select(*carried, F.xxhash64(text_col).alias(hash_col), utf8(text_col).alias(body))
-    same = F.col(id_col).eqNullSafe(F.col("_f_id")) & (F.col(hash_col) == F.col("_f_hash"))
+    same = F.col(id_col).eqNullSafe(F.col(found_id)) & (F.col(hash_col) == F.col(found_hash))
     joined = rows.join(found.withColumnRenamed("spans", spans), same, "left").select(*carried, body, spans)
     schema = rows.select(*carried).schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("kept_sha256", "string")):
