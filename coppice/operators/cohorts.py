@@ -6,13 +6,20 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from coppice.operators.joins import BROADCAST_ROWS, lookup_join
 
 
 def at_least(df: DataFrame, col: str, bound: float, strict: bool = False) -> DataFrame:
-    """Rows with ``col >= bound`` (``> bound`` when strict); null never qualifies."""
-    return df.where(F.col(col) > bound if strict else F.col(col) >= bound)
+    """Rows with ``col >= bound`` (``> bound`` when strict); null and NaN never qualify."""
+    kept = F.col(col) > bound if strict else F.col(col) >= bound
+    return df.where(kept & ~_is_nan(df, col))
+
+
+def _is_nan(df: DataFrame, col: str) -> Column:
+    """Whether a value is NaN; only floating columns can hold it, and Spark orders it above all numbers."""
+    return F.isnan(col) if isinstance(df.schema[col].dataType, (DoubleType, FloatType)) else F.lit(False)
 
 
 def in_set(df: DataFrame, col: str, values: Iterable) -> DataFrame:
@@ -49,12 +56,13 @@ def first_per_group(
     tie_break: list[str],
     descending: bool = False,
 ) -> DataFrame:
-    """One row per key: the smallest (or largest) ``order_by``, nulls last.
+    """One row per key: the smallest (or largest) ``order_by``, nulls and NaN last.
 
     The rank filter becomes a window group limit that already runs before the shuffle, so
     each task sends at most one row per key, however large a group is.
     """
-    lead = F.col(order_by).desc_nulls_last() if descending else F.col(order_by).asc_nulls_last()
+    known = F.when(~_is_nan(df, order_by), F.col(order_by))
+    lead = known.desc_nulls_last() if descending else known.asc_nulls_last()
     ties: list[Column] = [F.col(c).asc_nulls_last() for c in tie_break]
     window = Window.partitionBy(key).orderBy(lead, *ties)
     return (

@@ -129,7 +129,7 @@ class CategoryEncoder:
                 F.col("level").alias("__level"), F.col("code").alias("__code")
             )
             keyed = df.withColumn("__level", F.col(c).cast("string"))
-            coded = lookup_join(keyed, codes, ["__level"], "left", True, max_rows, settle=True)
+            coded = lookup_join(keyed, codes, ["__level"], "left", True, max_rows)
             code = F.coalesce(F.col("__code"), F.lit(known)).cast("double")
             code = F.when(F.col("__level").isNotNull(), code)
             df = coded.withColumn(c, code).drop("__code", "__level")

@@ -9,6 +9,7 @@ weights need no storage: any later pass recomputes them and knows the out-of-bag
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
@@ -70,12 +71,16 @@ class ForestSpec:
         half of ``min_node`` is the nearest bound that never splits a smaller node.
         """
         mtry = self.mtry or max(1, math.isqrt(n_features))
+        if mtry > n_features:
+            warnings.warn(f"mtry {mtry} is more than the {n_features} features; all are tried", stacklevel=2)
+        if self.max_depth > _MAX_DEPTH:
+            raise ValueError(f"trees can be {_MAX_DEPTH} deep at most, not {self.max_depth}")
         return RandomForestRegressor(
             featuresCol=_FEATURES,
             numTrees=trees,
             featureSubsetStrategy=str(min(max(int(mtry), 1), n_features)),
             minInstancesPerNode=max(1, math.ceil(self.min_node / 2)),
-            maxDepth=min(self.max_depth, _MAX_DEPTH),
+            maxDepth=self.max_depth,
             maxBins=self.max_bins,
             maxMemoryInMB=self.memory_mb,
             seed=seed,
@@ -383,7 +388,7 @@ def fit_per_group(
 
     The groups are fitted as separate distributed jobs over one encoded, staged table; no
     group is ever brought to a single task, however unequal their sizes. ``ids`` need to
-    identify a row within its group only.
+    identify a row within its group only. A whole-number key is its forest's replicate number; other keys are numbered.
     """
     row_ids = [group, *ids] if ids else []
     others = [*carried] if ids else [group, *carried]
@@ -391,9 +396,10 @@ def fit_per_group(
     column = table.ids[0] if ids else table.carried[0]
     keys = [r[0] for r in table.df.select(column).distinct().orderBy(column).collect()]
     tables = {k: replace(table, df=table.df.where(F.col(column) == F.lit(k))) for k in keys}
+    numbers = [k if isinstance(k, int) else i for i, k in enumerate(keys, 1)]
     fits = run_all(
         df.sparkSession,
-        [lambda t=t, i=i: fit_replicates(t, spec, [i], 1)[0] for i, t in enumerate(tables.values(), 1)],
+        [lambda t=t, i=i: fit_replicates(t, spec, [i], 1)[0] for i, t in zip(numbers, tables.values(), strict=True)],
         parallelism,
     )
     return {k: (t, f) for (k, t), f in zip(tables.items(), fits, strict=True)}

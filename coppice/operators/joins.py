@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -22,7 +22,6 @@ BROADCAST_BYTES = 128 * 2**20
 # A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer than
 # HOT_KEYS hot keys whatever the data: a proven bound for broadcasting them.
 HOT_KEYS = 256
-SALTS = 64
 
 
 def fits_broadcast(
@@ -61,39 +60,6 @@ def _keep(df: DataFrame, marker: DataFrame, keys: list[str], how: str) -> DataFr
     return df.join(F.broadcast(named), same, how)
 
 
-def _salted_join(
-    salted: DataFrame, repeated: DataFrame, keys: list[str], how: str, salted_first: bool
-) -> DataFrame:
-    """Join with one side spread over ``SALTS``, the other repeated once per salt.
-
-    Rows are spread by a hash of all their columns, which is the same on every attempt of a
-    task. Equal rows would share that hash, so copies are counted first and their number is
-    dealt out over the salts; the copies come back after the join.
-    """
-    columns = salted.columns
-    named = [F.col(f"`{c}`") for c in columns]
-    counted = salted.groupBy(*named).agg(F.count(F.lit(1)).alias("__n"))
-    rest = (F.col("__turn") < F.col("__n") % SALTS).cast("bigint")
-    share = F.floor(F.col("__n") / SALTS) + rest
-    dealt = (
-        counted.withColumn("__turn", F.explode(_numbers(F.least(F.col("__n"), F.lit(SALTS)))))
-        .withColumn("__copies", share)
-        .withColumn("__salt", F.pmod(F.xxhash64(*named) + F.col("__turn"), F.lit(SALTS)))
-        .drop("__n", "__turn")
-    )
-    many = repeated.withColumn("__salt", F.explode(_numbers(F.lit(SALTS))))
-    pair = (dealt, many) if salted_first else (many, dealt)
-    joined = pair[0].join(pair[1], [*keys, "__salt"], how)
-    return joined.withColumn("__copy", F.explode(_numbers(F.col("__copies")))).drop(
-        "__salt", "__copies", "__copy"
-    )
-
-
-def _numbers(n: Column) -> Column:
-    """Array of the numbers from 0 to ``n - 1``."""
-    return F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)
-
-
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -101,47 +67,24 @@ def spread_join(
     how: str = "left",
     unique_right: bool = False,
 ) -> DataFrame:
-    """Equi-join in which no key's rows all meet in one task.
+    """Shuffle join whose crowded partitions adaptive execution can split.
 
-    Without hot keys this is the plain join. Rows of hot keys (and of a hot null key) leave
-    the shuffle join. With ``unique_right`` the hot rows of the right side are at most
-    ``HOT_KEYS`` and are broadcast, so hot left rows are not shuffled at all. Otherwise the
-    rows of keys hot on the left are salted there and repeated on the right, rows of keys
-    hot on the right only the other way round.
+    It splits the left side of a left, semi or anti join, and either side of an inner join. Keys
+    that are hot on the right of a left join are therefore joined apart, as an inner join: each has
+    partners, so that is the same rows. Rows are never grouped, so values stay as they are.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"unsupported join type {how!r}")
     if how in {"left_semi", "left_anti"}:
-        right, unique_right = right.select(*keys).distinct(), True
-    hot = heavy_keys(left, keys)
-    if unique_right and hot.isEmpty():
+        return left.join(right.select(*keys).distinct(), keys, how)
+    if how == "inner" or unique_right:
+        return left.join(right, keys, how)
+    hot = heavy_keys(right.dropna(subset=keys), keys)
+    if hot.isEmpty():
         return left.join(right, keys, how)
-    hot_left = _keep(left, hot, keys, "left_semi")
-    hot_right = _keep(right, hot, keys, "left_semi")
-    cold_left = _keep(left, hot, keys, "left_anti")
-    cold_right = _keep(right, hot, keys, "left_anti")
-
-    if unique_right:
-        warm = hot_left.join(F.broadcast(hot_right), keys, how)
-        return cold_left.join(cold_right, keys, how).unionByName(warm)
-
-    warm = _salted_join(hot_left, hot_right, keys, how, salted_first=True)
-    right_hot = heavy_keys(cold_right.dropna(subset=keys), keys)
-    if right_hot.isEmpty():
-        rest = cold_left.join(cold_right, keys, how)
-        return left.join(right, keys, how) if hot.isEmpty() else rest.unionByName(warm)
-    # every left row with such a key has partners, so an inner join is exact for them
-    crowded = _salted_join(
-        _keep(cold_right, right_hot, keys, "left_semi"),
-        _keep(cold_left, right_hot, keys, "left_semi"),
-        keys,
-        "inner",
-        salted_first=False,
-    )
-    rest = _keep(cold_left, right_hot, keys, "left_anti").join(
-        _keep(cold_right, right_hot, keys, "left_anti"), keys, how
-    )
-    return rest.unionByName(crowded).unionByName(warm)
+    crowded = _keep(left, hot, keys, "left_semi").join(_keep(right, hot, keys, "left_semi"), keys, "inner")
+    rest = _keep(left, hot, keys, "left_anti").join(_keep(right, hot, keys, "left_anti"), keys, how)
+    return rest.unionByName(crowded)
 
 
 def lookup_join(
@@ -152,21 +95,17 @@ def lookup_join(
     unique_right: bool = False,
     max_rows: int = BROADCAST_ROWS,
     derived: bool = False,
-    settle: bool = False,
 ) -> DataFrame:
-    """Join with a side that is usually small: broadcast if counted small, else spread.
+    """Join with a side that is usually small: broadcast if counted small, else shuffled.
 
     ``derived`` says that the right side is the result of a shuffle over a large table. It
     is then written once, as counting, checking and joining would each compute it again.
-    ``settle`` stages the result of a spread join: such a join reads its left side several
-    times, so a chain of them must not be left to recompute its beginning over and over.
     """
     if derived:
         right = stage(right, "join-side")
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), keys, how)
-    joined = spread_join(left, right, keys, how, unique_right)
-    return stage(joined, "joined") if settle else joined
+    return spread_join(left, right, keys, how, unique_right)
 
 
 def join_on_pairs(
@@ -176,11 +115,10 @@ def join_on_pairs(
     how: str = "left",
     unique_right: bool = False,
     max_rows: int = BROADCAST_ROWS,
-    settle: bool = False,
 ) -> DataFrame:
     """Join on differently named columns (left name -> right name), dropping the right keys."""
     renamed = right.withColumnsRenamed({r: l for l, r in pairs.items()})
-    return lookup_join(left, renamed, list(pairs), how, unique_right, max_rows, settle=settle)
+    return lookup_join(left, renamed, list(pairs), how, unique_right, max_rows)
 
 
 def left_join_expecting(

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -38,6 +38,7 @@ class Study:
     metrics: DataFrame
     importance: DataFrame
     top: DataFrame
+    groups: Mapping[object, tuple[ModelTable, BaggedForest]] = field(default_factory=dict)
 
 
 def run_study(
@@ -133,7 +134,11 @@ def run_difference_study(
     categorical: Sequence[str] = (),
     parallelism: int = 4,
 ) -> Study:
-    """Model the prediction error separately for every transferred model."""
+    """Model the prediction error separately for every transferred model.
+
+    ``groups`` of the result holds the table and the forest of each model by its key; ``table`` holds the rows of all.
+    A forest's replicate number, which the result tables carry, is the key if that is a number.
+    """
     fits = fit_per_group(
         rows, model, label, features, ids, spec, categorical, parallelism=parallelism
     )
@@ -144,15 +149,26 @@ def run_difference_study(
         [lambda p=p, f=f: forest_importance([f], p, parallelism=1) for p, f in fits.values()],
         parallelism,
     )
-    table = next(iter(fits.values()))[0]
+    parts = [part for part, _ in fits.values()]
+    table = replace(parts[0], df=reduce(DataFrame.unionByName, [p.df for p in parts]))
     oob = stage(reduce(DataFrame.unionByName, predictions), "difference-oob")
     weights = stage(reduce(DataFrame.unionByName, importance), "difference-importance")
     return Study(
         table, forests, oob, replicate_metrics(oob), weights,
-        top_variables(weights, 10, "importance_z"),
+        top_variables(weights, 10, "importance_z"), fits,
     )
 
 
+def difference_curves(
+    study: Study, variables: Sequence[str], resolution: int | None = 20
+) -> DataFrame:
+    """Dependence curves of each difference model on its own rows; ``model_run`` names the model."""
+    curves = [
+        replicate_curves(table, [forest], variables, resolution) for table, forest in study.groups.values()
+    ]
+    return reduce(DataFrame.unionByName, curves)
+
+
 @dataclass(frozen=True)
 class Tuning:
     """Summaries of the space-filling and the regular search, the winner and its test fit."""

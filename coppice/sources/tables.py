@@ -27,6 +27,7 @@ def read_delimited(
     extra pass, so pass a schema for large inputs.
     """
     reader = spark.read.option("header", True).option("nullValue", missing).option("sep", sep)
+    reader = reader.option("quote", '"').option("escape", '"')  # a quote inside quotes is doubled
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return normalise_names(reader.csv(path))
 
@@ -36,7 +37,7 @@ def _write(df: DataFrame, path: str, fmt: str, partition: str | None) -> None:
     if partition:
         writer = writer.partitionBy(partition)
     if fmt == "csv":
-        writer = writer.option("header", True).option("nullValue", "NA")
+        writer = writer.option("header", True).option("nullValue", "NA").option("escape", '"')
     writer.format(fmt).save(path)
 
 

@@ -15,6 +15,7 @@ from coppice.functions import (
     rmse,
     to_number,
 )
+from coppice.operators import cohorts
 from coppice.operators.charts import dependence_lines, dependence_strip, importance_ranked, top_variables
 from coppice.operators.cohorts import (
     at_least,
@@ -212,3 +213,9 @@ def test_curves_without_run_are_filled(spark):
     lines = {(r.line_type, r.line) for r in dependence_lines(curves, means).collect()}
     assert lines == {("Individual", "Individual.1"), ("Average", "Average.NA")}
     assert [r.x_rescaled for r in dependence_strip(curves).collect()] == [0.0]
+
+
+def test_nan_is_no_large_number(spark):
+    df = spark.sql("select * from values (1, double('nan')), (1, 2.0D), (2, 0.5D), (2, null) as t(k, v)")
+    assert [r.v for r in cohorts.at_least(df, "v", 1.0).collect()] == [2.0]
+    assert sorted(r.v for r in cohorts.first_per_group(df, "k", "v", ["v"], descending=True).collect()) == [0.5, 2.0]

@@ -79,3 +79,21 @@ def test_difference_rows(spark):
         {"site_id": "site", "year": "survey_year"}, survey="survey", drop=["qc"],
     )
     assert sorted(tuple(r) for r in out.collect()) == [(1, 3.0, 1.0), (1, 3.0, 2.0), (2, 4.0, 1.0), (2, 4.0, 2.0)]
+
+
+def test_difference_study_keeps_each_group_and_its_key(spark):
+    from pyspark.sql import functions as F
+
+    from coppice.operators.forest import ForestSpec
+    from coppice.plans.studies import difference_curves, run_difference_study
+
+    rows = spark.range(240).select(
+        "id", F.when(F.col("id") % 3 == 0, 5).otherwise(3).alias("model"),
+        (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("difference"),
+    )
+    study = run_difference_study(rows, ["a"], ["id"], ForestSpec(trees=4, bags=2, max_depth=3))
+    assert study.table.df.count() == 240
+    assert {k: t.df.count() for k, (t, _) in study.groups.items()} == {3: 160, 5: 80}
+    assert {f.replicate for f in study.forests} == {3, 5}
+    curves = difference_curves(study, ["a"], 4)
+    assert {r.model_run for r in curves.select("model_run").distinct().collect()} == {3, 5}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coppice.operators.charts import dependence_strip
 from coppice.operators.explain import (
+    block_count,
     average_curves,
     expr_scorer,
     grid_values,
@@ -132,13 +133,10 @@ def strip(spark, d):
     )
 
 
-_BLOCKS = 8
-
-
 @query(
     "permutation_importance_expr",
     f"""with b as (
-          select o_orderkey as id, {sql_hash('o_orderkey', 'block:0')} % {_BLOCKS} as blk,
+          select o_orderkey as id, {sql_hash('o_orderkey', 'block:0')} % greatest(2, (select ceil(count(*) / 10000.0) from orders))::BIGINT as blk,
                  {sql_hash('o_orderkey', 'order:0')} as h, o_custkey::DOUBLE as x1,
                  month(o_orderdate)::DOUBLE as x2, o_totalprice as y from orders),
         p as (select *, coalesce(lead(x1) over w, first_value(x1) over w) as p1,
@@ -162,7 +160,7 @@ def importance(spark, d):
         F.col("o_totalprice").alias("y"),
     )
     out = permutation_importance(
-        rows, expr_scorer("3 * x1 + x2"), ["x1", "x2"], "y", ["o_orderkey"], _BLOCKS
+        rows, expr_scorer("3 * x1 + x2"), ["x1", "x2"], "y", ["o_orderkey"], block_count(rows, ["o_orderkey"])
     )
     return out.select(
         "variable",

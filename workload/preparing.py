@@ -23,24 +23,26 @@ from coppice.operators.features import (
 from coppice.operators.joins import join_on_pairs, left_join_expecting, lookup_join
 from coppice.operators.reshape import stack_filling, stack_tagged, to_long
 from coppice.session import new_path
-from coppice.sources.tables import read_delimited
+from coppice.sources.tables import read_delimited, write_predictions
 from workload.registry import query, table
 
 
 @query(
     "csv_roundtrip_scan",
     """select o_orderkey, o_custkey, o_orderpriority,
-              case when o_orderstatus <> 'P' then o_totalprice end as o_totalprice
+              case when o_orderstatus <> 'P' then o_totalprice end as o_totalprice,
+              'a "' || o_orderstatus || '", b\\' || o_orderpriority as note
        from orders""",
 )
 def csv_roundtrip_scan(spark, d):
     path = new_path(spark, "csv")
     price = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
     rows = table(spark, d, "orders").select(
-        "o_orderkey", F.col("o_custkey").alias("o.custkey"), "o_orderpriority", price.alias("o.totalprice")
+        "o_orderkey", F.col("o_custkey").alias("o.custkey"), "o_orderpriority", price.alias("o.totalprice"),
+        F.concat(F.lit('a "'), "o_orderstatus", F.lit('", b\\'), "o_orderpriority").alias("note"),
     )
-    rows.write.option("header", True).option("nullValue", "NA").csv(path)
-    schema = "o_orderkey bigint, `o.custkey` bigint, o_orderpriority string, `o.totalprice` double"
+    write_predictions(rows, path, "csv", None)
+    schema = "o_orderkey bigint, `o.custkey` bigint, o_orderpriority string, `o.totalprice` double, note string"
     return read_delimited(spark, path, schema)
 
 
