@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -22,11 +23,18 @@ from coppice.llm.common import arrow_map, fresh, stage, utf8
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of a span that only a pattern has found.
 FOUND = "context"
-#: Different seeds that a pattern must hold, patterns that are scored (those with most seeds), rounds, and threshold.
+#: Different seeds that a pattern must hold, rounds, and threshold.
 LEAST_SEEDS = 5
-MOST_PATTERNS = 5_000
 ROUNDS = 4
 THRESHOLD = 0.8
+#: Patterns a task holds at a time; different words a task counts before it passes them on.
+BLOCK = 200_000
+HELD = 200_000
+#: Bits of the filter that spares most words the way to the counts of patterns (1 MB).
+FILTER_BITS = 1 << 23
+_PAGE = 32_768
+#: Characters of a word that count.
+_CUT = 40
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -99,7 +107,7 @@ def _identifier(text: str, start: int, end: int) -> tuple[int, int] | None:
 
 
 def _word(token: str) -> str:
-    return token.lower()[:40]
+    return token.lower()[:_CUT]
 
 
 def _bounds(text: str, at: int) -> tuple[int, int]:
@@ -151,7 +159,7 @@ def _graph(docs: DataFrame, text_col: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            found: Counter = Counter()
+            found: Counter = Counter()  # at most as large as the texts of a batch
             for raw in batch.column(0):
                 text = raw.as_py().decode("utf-8", "replace")
                 for a, b, seed in _tokens(text, base_spans(text)):
@@ -177,45 +185,60 @@ def _graph(docs: DataFrame, text_col: str) -> DataFrame:
     return stage(rows.groupBy("side", "word", "token", "seed").agg(F.sum("n").alias("n")), "contexts")
 
 
-def _places(docs: DataFrame, text_col: str, words: set[str]) -> DataFrame:
-    """``word, places``: tokens in the corpus that are one of ``words``."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def _word_filter(words: DataFrame) -> bytes:
+    """``FILTER_BITS`` bits, of which each word sets one: of the same size for any number of words."""
+    slot = F.crc32(F.col("word").cast("binary")) % FILTER_BITS
+    pages = words.groupBy((slot / _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(slot % _PAGE).alias("bits"))
+    bits = bytearray(FILTER_BITS // 8)
+    for row in pages.collect():
+        at = row.page * _PAGE // 8
+        bits[at : at + _PAGE // 8] = row.bits
+    return bytes(bits)
+
+
+def _places(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
+    """``word, places``: how many tokens in the corpus each word is; all of ``words``, and a few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(_word_filter(words))
+
+    def counted(found):
+        bits, kept = shared.value, Counter()
+        for token, n in found.items():
+            slot = zlib.crc32(token[:_CUT].encode()) % FILTER_BITS
+            if bits[slot >> 3] >> (slot & 7) & 1:
+                kept[token[:_CUT]] += n
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "places"]
+        )
 
     def count(batches):
-        wanted, found = shared.value, Counter()
+        found: Counter = Counter()
         for batch in batches:
             for raw in batch.column(0):
-                found.update(filter(wanted.__contains__, raw.as_py().decode("utf-8", "replace").lower().split()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "places"]
-        )
+                found.update(raw.as_py().decode("utf-8", "replace").lower().split())
+                if len(found) >= HELD:
+                    yield counted(found)
+                    found = Counter()
+        yield counted(found)
 
     rows = arrow_map(docs.select(utf8(text_col).alias("_utf8")), count, "word string, places long")
     return rows.groupBy("word").agg(F.sum("places").alias("places"))
 
 
 def learn_patterns(
-    docs: DataFrame, text_col: str = "text", least_seeds: int = LEAST_SEEDS, most_patterns: int = MOST_PATTERNS,
-    rounds: int = ROUNDS, threshold: float = THRESHOLD,
-) -> dict[tuple[str, str], float]:
-    """Score of each pattern (side, word) that reaches ``threshold``; ``most_patterns`` at most.
+    docs: DataFrame, text_col: str = "text", least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """``side, word, score`` of all patterns that reach ``threshold``.
 
     A pattern needs ``least_seeds`` different seeds. All its places in all texts count against it, those with ordinary
     words too, so the words around one copied identifier, or common words, make no pattern.
     """
-    spark = docs.sparkSession
     graph = _graph(docs, text_col)
     pattern = ["side", "word"]
     seeded = graph.filter("seed").groupBy(*pattern).agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= least_seeds)
-    top = seeded.orderBy(F.desc("seeds"), *pattern).limit(most_patterns)
-    names = [(r.side, r.word) for r in top.select(*pattern).collect()]
-    if not names:
-        return {}
-    chosen = spark.createDataFrame(names, "side string, word string")
-    places = _places(docs, text_col, {w for _, w in names})
-    # a cut word stands for many words: it is counted by its own tokens, so it scores too low rather than too high
-    edges = graph.join(F.broadcast(chosen), pattern).join(places, "word")
-    edges = stage(edges, "pattern-graph")
+    seeded = stage(seeded.select(*pattern), "seeded-patterns")
+    if seeded.isEmpty():
+        return seeded.withColumn("score", F.lit(0.0))
+    edges = stage(graph.join(seeded, pattern).join(_places(docs, text_col, seeded), "word"), "pattern-graph")
     trust = edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("trust"))
     for _ in range(rounds):
         scored = edges.join(trust, "token").groupBy(*pattern).agg(
@@ -227,27 +250,73 @@ def learn_patterns(
         trust = edges.join(scored, pattern).groupBy("token").agg(
             F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(F.sum(F.log(1 - F.least(voice, F.lit(0.999)))))).alias("trust")
         )
-    return {(r.side, r.word): r.score for r in scored.filter(F.col("score") >= threshold).collect()}
+    return scored.filter(F.col("score") >= threshold)
+
+
+def _in_context(text: str, base: list[tuple[int, int, int]], patterns: set[tuple[str, str]]):
+    """(start, end) of tokens that a pattern holds."""
+    for a, b, seed in _tokens(text, base) if patterns else ():
+        if not seed:
+            before, after = _neighbours(text, a, b)
+            if ("L", before) in patterns or ("R", after) in patterns:
+                yield a, b
 
 
-def all_spans(text: str, patterns: dict[tuple[str, str], float]) -> tuple[list[tuple[int, int, str]], list]:
-    """(base and discovered spans as (start, end, kind), base spans as ``base_spans`` gives them)."""
+def all_spans(text: str, patterns: set[tuple[str, str]], earlier: list[int] | None = None) -> tuple[list, list]:
+    """(base and discovered spans as (start, end, kind), base spans as ``base_spans`` gives them).
+
+    ``earlier`` has the starts and ends, in turn, of what other patterns have found in the text.
+    """
     base = base_spans(text)
-    spans = [(a, b, k, KINDS[k]) for a, b, k in base]
-    if patterns:
-        for a, b, seed in _tokens(text, base):
-            if not seed:
-                before, after = _neighbours(text, a, b)
-                if ("L", before) in patterns or ("R", after) in patterns:
-                    spans.append((a, b, len(KINDS), FOUND))
+    earlier = earlier or []
+    found = {*zip(earlier[::2], earlier[1::2], strict=True), *_in_context(text, base, patterns)}
+    spans = [(a, b, k, KINDS[k]) for a, b, k in base] + [(a, b, len(KINDS), FOUND) for a, b in found]
     return [(a, b, name) for a, b, _, name in sorted(spans, key=lambda s: (s[0], s[2]))], base
 
 
+def _decoded(raw: str | bytes | None) -> str:
+    return raw.decode("utf-8", "replace") if isinstance(raw, bytes) else raw or ""
+
+
+def _search(docs: DataFrame, text_col: str, patterns: DataFrame, block: int) -> tuple[DataFrame, str, set[tuple[str, str]]]:
+    """``docs`` with a column of what all blocks of patterns but the last have found, its name, and the last block.
+
+    A task holds one block of about ``block`` patterns. As a rule there is only one, and no pass is made here; each
+    further block is a pass over all rows, which are written in between.
+    """
+    spark = docs.sparkSession
+    blocks = max(1, -(-patterns.count() // block))
+    number = F.pmod(F.xxhash64("side", "word"), F.lit(blocks))
+
+    def members(k):
+        return {(r.side, r.word) for r in patterns.filter(number == k).select("side", "word").collect()}
+
+    mark = fresh(docs, "_contexts")
+    docs = docs.withColumn(mark, F.lit(None).cast("array<bigint>"))
+    for k in range(blocks - 1):
+        shared = spark.sparkContext.broadcast(members(k))
+
+        def add(batches, shared=shared):
+            for batch in batches:
+                marks = []
+                for raw, old in zip(batch.column(text_col), batch.column(mark), strict=True):
+                    text = _decoded(raw.as_py())
+                    found = _in_context(text, base_spans(text), shared.value)
+                    marks.append([*(old.as_py() or []), *(x for span in found for x in span)])
+                columns = [*batch.columns[:-1], pa.array(marks, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        docs = stage(arrow_map(docs, add, docs.schema), "contexts-found")
+    return docs, mark, members(blocks - 1)
+
+
 def _written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, **learning
+) -> DataFrame:
     """``id_col, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans`` of every row.
 
     Counts and ``base_sha256`` are of the fixed formats; ``spans`` also has what patterns have found (``context``), as
@@ -256,15 +325,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     patterns are learnt each row is judged alone.
     """
     patterns = learn_patterns(docs, text_col, **learning)
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("_utf8"))
+    texts, _, last = _search(texts, "_utf8", patterns, block)
+    shared = docs.sparkSession.sparkContext.broadcast(last)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def find(batches):
         known = shared.value
         for batch in batches:
             counts, digest, written = [[0] * batch.num_rows for _ in range(len(KINDS) + 1)], [], []
-            for i, raw in enumerate(batch.column(1)):
-                spans, base = all_spans(raw.as_py().decode("utf-8", "replace"), known)
+            for i, (raw, earlier) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                spans, base = all_spans(_decoded(raw.as_py()), known, earlier.as_py())
                 for _, _, k in base:
                     counts[k][i] += 1
                 counts[-1][i] = len(spans) - len(base)
@@ -279,18 +350,20 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
 
     kinds = f"id {id_type}, " + ", ".join(f"n_{k} long" for k in (*KINDS, FOUND)) + ", base_sha256 string, spans string"
-    found = arrow_map(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("_utf8")), find, kinds)
-    return found.withColumnRenamed("id", id_col)
+    return arrow_map(texts, find, kinds).withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **learning) -> DataFrame:
+def redact(
+    docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", block: int = BLOCK, **learning
+) -> DataFrame:
     """``docs`` with each span of ``text_col`` replaced by ``<kind>``, and ``length_col``, if there is one, brought up to date.
 
     Overlapping spans are replaced together, under the kind of the first. Rows without a span do not change at all; null
     texts stay null.
     """
-    patterns = learn_patterns(docs, text_col, **learning)
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    columns = docs.columns
+    docs, found, last = _search(docs, text_col, learn_patterns(docs, text_col, **learning), block)
+    shared = docs.sparkSession.sparkContext.broadcast(last)
     mark = fresh(docs, "_redacted")
     schema = docs.select("*").schema.add(mark, "string")
 
@@ -298,9 +371,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
         known = shared.value
         for batch in batches:
             out = []
-            for raw in batch.column(text_col):
+            for raw, earlier in zip(batch.column(text_col), batch.column(found), strict=True):
                 text = raw.as_py()
-                spans = all_spans(text, known)[0] if text else []
+                spans = all_spans(text, known, earlier.as_py())[0] if text else []
                 if not spans:
                     out.append(None)
                     continue
@@ -315,9 +388,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
             )
 
     covered = arrow_map(docs, cover, schema)
-    if length_col in docs.columns:
+    if length_col in columns:
         kind = docs.schema[length_col].dataType
         covered = covered.withColumn(
             length_col, F.when(F.col(mark).isNotNull(), F.length(mark).cast(kind)).otherwise(F.col(length_col))
         )
-    return covered.withColumn(text_col, F.coalesce(F.col(mark), F.col(text_col))).select(docs.columns)
+    return covered.withColumn(text_col, F.coalesce(F.col(mark), F.col(text_col))).select(columns)

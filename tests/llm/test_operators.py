@@ -225,6 +225,14 @@ def test_contexts_discover_identifiers_and_leave_other_numbers_alone(spark, docs
     assert all(found[i].n_context == 1 and found[i].spans.startswith("context:14:") for i in range(30, 33))
     assert all(found[i].n_card == 1 and found[i].n_context == 0 for i in range(30))
     assert all(found[i].spans == "" for i in range(33, len(texts)))
+    # patterns held a few at a time find the same, and every pattern with enough seeds has a score
+    in_blocks = pii.find_personal_data(df, block=1, threshold=0.5)
+    assert _key(in_blocks.collect(), "doc_id", "spans") == _key(
+        pii.find_personal_data(df, threshold=0.5).collect(), "doc_id", "spans"
+    )
+    assert pii.learn_patterns(df, threshold=0.5).count() > 1
+    covered = dict(pii.redact(df, block=1).collect())
+    assert covered[0].startswith("the patient cardno: <card> paid") and covered[30] == "again cardno: <context> was refused"
     mail = next(r[0] for r in rows if r[1] and r[1].startswith("mail"))
     got = next(r for r in pii.find_personal_data(docs).collect() if r.doc_id == mail)
     # the digit behind the card belongs to its match, which therefore fails the check sum
