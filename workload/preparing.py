@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coppice.functions import composite_key, log2_or_null, residual
+from coppice.functions import composite_key, log2_or_null, residual, to_number
 from coppice.operators.cohorts import (
     at_least,
     complete_cases,
@@ -21,9 +21,9 @@ from coppice.operators.features import (
     ratio_within_group,
 )
 from coppice.operators.joins import join_on_pairs, left_join_expecting, lookup_join
-from coppice.operators.reshape import stack_filling, stack_tagged, to_long
+from coppice.operators.reshape import move_after, stack_filling, stack_tagged, to_long
 from coppice.session import new_path
-from coppice.sources.tables import read_delimited, write_predictions
+from coppice.sources.tables import read_delimited, write_curves, write_predictions
 from workload.registry import query, table
 
 
@@ -46,6 +46,64 @@ def csv_roundtrip_scan(spark, d):
     return read_delimited(spark, path, schema)
 
 
+@query(
+    "predictions_roundtrip",
+    """select l_linenumber::INTEGER as model, l_orderkey, l_partkey, l_extendedprice as observed,
+              1500 * l_quantity as predicted from lineitem""",
+)
+def predictions_roundtrip(spark, d):
+    path = new_path(spark, "predictions")
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_linenumber").cast("int").alias("model"), "l_orderkey", "l_partkey",
+        F.col("l_extendedprice").alias("observed"), (F.col("l_quantity") * 1500).alias("predicted"),
+    )
+    write_predictions(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query(
+    "curves_roundtrip",
+    """select variable, l_orderkey, l_linenumber, value as x
+       from (select l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem)
+       unpivot (value for variable in (l_quantity, l_extendedprice))""",
+)
+def curves_roundtrip(spark, d):
+    path = new_path(spark, "curves")
+    rows = to_long(
+        table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber"], values_to="x"
+    )
+    write_curves(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query(
+    "text_to_number",
+    """select o_orderkey,
+              try_cast(case when o_orderstatus = 'F' then o_custkey::varchar else o_orderpriority end as double) as number
+       from orders""",
+)
+def text_to_number(spark, d):
+    text = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey").cast("string")).otherwise(F.col("o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", to_number(text).alias("number"))
+
+
+@query(
+    "reorder_columns",
+    "select p_partkey, p_type, p_brand from part",
+)
+def reorder_columns(spark, d):
+    return move_after(table(spark, d, "part").select("p_partkey", "p_brand", "p_type"), "p_brand", "p_type")
+
+
+@query(
+    "label_only_rows",
+    "select o_orderkey, o_custkey, o_orderpriority from orders where o_orderpriority = '4-NOT SPECIFIED'",
+)
+def label_only_rows(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return in_set(rows, "o_orderpriority", ["4-NOT SPECIFIED"])
+
+
 @query(
     "complete_case_select",
     """select l_orderkey, l_partkey, l_quantity, nullif(l_tax, 0) as tax
