@@ -11,6 +11,7 @@ each set of linked fingerprints, never all pairs of a group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -187,7 +188,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     without ids keeps its row with the smallest fingerprint. The texts themselves move only for rows
     whose id is null or not their own.
     """
-    placed = stage(_placed(docs, id_col, text_col), "components")
+    return keep_rows(docs, _placed(docs, id_col, text_col), with_fingerprint, id_col, text_col)
+
+
+def keep_rows(
+    docs: DataFrame, placed: DataFrame, named: Callable[..., DataFrame], id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """One row of each component of ``placed`` (``id, fingerprint, root, component_id`` of every row); see ``keep_one``.
+
+    ``named(docs, keep, text_col, name)`` adds the fingerprint of ``placed`` to ``docs``, as ``with_fingerprint`` does.
+    """
+    placed = stage(placed, "components")
     chosen = placed.filter("id <=> component_id").groupBy("id", "root").agg(F.min("fingerprint").alias("kept"))
     shared = placed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select("id")
     shared = stage(shared, "shared-ids")
@@ -197,7 +208,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = shared.withColumnRenamed("id", name)
     again = chosen.join(shared, F.col("id").eqNullSafe(F.col(name))).select(name, F.col("kept").alias(print_))
     doubled = docs.join(shared, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    marked = with_fingerprint(doubled, docs.columns, text_col, mark)
+    marked = named(doubled, docs.columns, text_col, mark)
     same = F.col(id_col).eqNullSafe(F.col(name)) & (F.col(mark) == F.col(print_))
     thinned = marked.join(again, same, "left_semi").dropDuplicates([id_col, mark]).select(docs.columns)
     return single.unionByName(thinned)
