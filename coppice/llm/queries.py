@@ -75,12 +75,15 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learnt from those whose crc32 of the id is not 0 modulo 5."""
+    """Toxicity of every document, learnt from those whose crc32 of the id is not 0 modulo 5.
+
+    Without labelled examples of both classes no document is predicted to be toxic.
+    """
     docs = documents(spark, sf_dir)
     held_out = doc_remainder("doc_id", 5) == 0
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = toxicity.toxic_scores(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.withColumn("predicted", ((F.col("score") >= 0.5) & F.lit(model.trained)).cast("int"))
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

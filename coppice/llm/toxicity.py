@@ -27,9 +27,12 @@ WIDTH = 8
 SHORTEST, LONGEST = 3, 5
 #: Words in a span; spans start at every half of that.
 SPAN = 16
-#: Labelled documents of each class that are learnt from, and characters of the longest of them.
+#: Labelled documents of each class that are learnt from, and characters up to which they come first.
 TRAIN_PER_CLASS = 1_200
 TRAIN_CHARS = 30_000
+#: Where those are too few: characters of a longer one that are learnt from, and of all longer ones of a class.
+LONG_CHARS = 1 << 20
+LONG_TOTAL = 1 << 22
 #: Rounds in which whole texts are averaged, and texts in a training batch.
 WARM_ROUNDS = 3
 BATCH = 64
@@ -107,6 +110,8 @@ class ToxicityModel:
 
     margin: np.ndarray  # for each bucket, toxic minus clean
     bias: float
+    #: Whether there were examples of both classes; without, the score tells no text from another.
+    trained: bool = True
 
     def word_margins(self, text: str) -> np.ndarray:
         """The margin of each word of a text: the mean over its n-grams."""
@@ -148,12 +153,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 1.0,
     The first ``WARM_ROUNDS`` average whole texts, which finds n-grams that are common in toxic texts. Later a text
     counts by its worst span so far: a toxic text as its other spans may be clean, a clean text as that span most
     needs learning. Both classes weigh the same. Without examples of both classes the model gives every text
-    the share of toxic labels (a half if there are none).
+    the share of toxic labels (a half if there are none) and says so by ``trained``.
     """
     y = np.asarray(labels, np.int64)
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.5
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), False)
     vocabulary: dict[int, int] = {}
     bags, kept, gram_count = [], [], []
     for text in texts:
@@ -225,7 +230,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 1.0,
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "toxic", **columns) -> ToxicityModel:
     """The model of a bounded sample of labelled documents; see ``sampling.labelled_texts``."""
-    return fit(*labelled_texts(docs, labels, label_col, TRAIN_PER_CLASS, TRAIN_CHARS, allowed, **columns))
+    return fit(*labelled_texts(
+        docs, labels, label_col, TRAIN_PER_CLASS, TRAIN_CHARS, allowed, long_chars=LONG_CHARS, long_total=LONG_TOTAL, **columns
+    ))
 
 
 def toxic_scores(docs: DataFrame, model: ToxicityModel, extra: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
