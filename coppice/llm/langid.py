@@ -22,7 +22,7 @@ from coppice.llm.common import arrow_map, fresh, utf8
 SLOTS = 1 << 20
 PROBES = 3
 SHORTEST, LONGEST = 3, 4
-#: Documents of a language that are learnt from, and characters of the longest of them.
+#: Documents of a language that are learnt from, and characters up to which they come first and of each that are read.
 TRAIN_PER_LANGUAGE = 1_500
 TRAIN_CHARS = 30_000
 #: An n-gram belongs to the languages that use it at least this often, relative to the one that uses it most.
@@ -132,25 +132,28 @@ def learn(
 ) -> LanguageFilters:
     """Filters from at most ``per_language`` documents of each language, chosen by a hash of the id.
 
-    Rows without text or language are not learnt from. N-grams are counted in Spark; the driver gets
+    Texts of up to ``TRAIN_CHARS`` characters come first; a language with too few of them is filled up with the beginnings
+    of longer ones. Rows without text or language are not learnt from. N-grams are counted in Spark; the driver gets
     those of the bounded sample.
     """
-    rows = docs.filter(allowed).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).filter(
-        F.length(text_col) <= TRAIN_CHARS
-    )
-    slim = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct()
+    rows = docs.filter(allowed).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    long = F.length(text_col) > TRAIN_CHARS
+    slim = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), long.alias("long"))
+    slim = slim.groupBy("id", "lang").agg(F.min("long").alias("long"))
     languages = [r.lang for r in slim.select("lang").distinct().collect()]
     chosen = []
     for g in sorted(languages):
-        chosen += slim.filter(F.col("lang") == g).orderBy(F.xxhash64("id"), "id").limit(per_language).collect()
+        chosen += slim.filter(F.col("lang") == g).orderBy("long", F.xxhash64("id"), "id").limit(per_language).collect()
     if not chosen:
         return build({})
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(r.id, r.lang) for r in chosen], slim.schema)
+    ids = spark.createDataFrame([(r.id, r.lang) for r in chosen], slim.select("id", "lang").schema)
     same = F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_lang") == F.col("lang"))
-    texts = rows.select(F.col(id_col).alias("d_id"), F.col(lang_col).alias("d_lang"), F.col(text_col).alias("text"))
-    # an id that many rows share gives one of its texts
-    sample = texts.join(F.broadcast(ids), same).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    begun = F.substring(text_col, 1, TRAIN_CHARS).alias("text")
+    texts = rows.select(F.col(id_col).alias("d_id"), F.col(lang_col).alias("d_lang"), begun, long.alias("long"))
+    # an id that many rows share gives one of its texts, a short one if there is any
+    one = F.coalesce(F.min(F.when(~F.col("long"), F.col("text"))), F.min("text"))
+    sample = texts.join(F.broadcast(ids), same).groupBy("id", "lang").agg(one.alias("text"))
 
     def count(batches):
         for batch in batches:

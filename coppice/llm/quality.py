@@ -25,7 +25,7 @@ MOST_REPEATED_PERCENT = 50
 REPEAT_WINDOW = 3
 #: Share of words in content lines from which a document is kept.
 LEAST_CONTENT = 0.5
-#: Labelled documents of each class that are learnt from, and lines and characters of the longest of them.
+#: Labelled documents of each class that are learnt from, lines and characters up to which they come first and that are read.
 TRAIN_PER_CLASS = 400
 TRAIN_LINES = 120
 TRAIN_CHARS = 30_000
@@ -198,12 +198,16 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, rate: float = 0
 
 
 def learn(docs: DataFrame, labels: DataFrame, **columns) -> LineField:
-    """The field of a bounded sample of labelled documents; see ``sampling.labelled_texts``."""
+    """The field of a bounded sample of labelled documents; see ``sampling.labelled_texts``.
+
+    As all lines take the label, the first lines of a longer document are examples where short ones are too few.
+    """
     few_lines = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"))) < TRAIN_LINES
     texts, classes = labelled_texts(
         docs, labels, "quality", TRAIN_PER_CLASS, TRAIN_CHARS, usable=few_lines, **columns
     )
-    return fit([t.encode("utf-8", "replace") for t in texts], classes)
+    begun = ["\n".join(t.split("\n")[:TRAIN_LINES]) for t in texts]
+    return fit([t.encode("utf-8", "replace") for t in begun], classes)
 
 
 def judge(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
