@@ -78,8 +78,9 @@ def importance(spark, d):
 
 @query("pdp_forest")
 def dependence(spark, d):
+    """Curves of every feature in every replicate."""
     data = basket_table(spark, d)
-    return replicate_curves(data, fit_replicates(data, SPEC, [1]), ["quantity", "segment"], 20)
+    return replicate_curves(data, fit_replicates(data, SPEC, [1, 2]), FEATURES, 20)
 
 
 @query("transfer_forest")
