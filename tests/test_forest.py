@@ -48,7 +48,8 @@ def test_spec_maps_to_the_estimator(spark):
     assert one.getMinInstancesPerNode() == 3
     assert ForestSpec(mtry=112).estimator(33, 1, 0).getFeatureSubsetStrategy() == "33"
     assert ForestSpec().estimator(26, 1, 0).getFeatureSubsetStrategy() == "5"
-    assert ForestSpec(max_depth=99).estimator(2, 1, 0).getMaxDepth() == 30
+    with pytest.raises(ValueError, match="30 deep"):
+        ForestSpec(max_depth=99).estimator(2, 1, 0)
 
 
 def test_prepare_keeps_ids_that_are_also_features(planted):
