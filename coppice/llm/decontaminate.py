@@ -8,7 +8,6 @@ must stay under as many edits as it has pieces, then for the whole item. Neither
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import ahocorasick
@@ -79,7 +78,7 @@ class Item:
 
 
 class Searcher:
-    """Finds items in texts; built once in each worker."""
+    """Finds items in texts; each task builds its own, which goes with it."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float):
         self.items = []
@@ -153,17 +152,6 @@ class Searcher:
         return item.item_id, d, first, text.count(" ", 0, end - 1) - first + 1
 
 
-_searchers: dict[str, Searcher] = {}
-
-
-def _searcher(items: list[tuple[object, str]], rate: float) -> Searcher:
-    key = hashlib.sha1(repr((rate, items)).encode()).hexdigest()
-    if key not in _searchers:
-        _searchers.clear()
-        _searchers[key] = Searcher(items, rate)
-    return _searchers[key]
-
-
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str):
     """The items in blocks of about ``BLOCK_CHARS`` characters; each is searched for in a pass of its own."""
     items = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")).dropna(subset=["text"]).distinct()
@@ -195,7 +183,7 @@ def find_leaks(
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches, shared=shared):
-            searcher = _searcher(shared.value, rate)
+            searcher = Searcher(shared.value, rate)
             for batch in batches:
                 rows = [
                     (i, *hit)
@@ -228,7 +216,7 @@ def without_leaks(
         body = fresh(docs, "_utf8")
 
         def clean(batches, shared=shared):
-            searcher = _searcher(shared.value, rate)
+            searcher = Searcher(shared.value, rate)
             for batch in batches:
                 own = [not searcher.search(raw.as_py().decode("utf-8", "replace")) for raw in batch.column(body)]
                 yield batch.drop_columns([body]).filter(pa.array(own, pa.bool_()))

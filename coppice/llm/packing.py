@@ -10,9 +10,11 @@ slots by joining on length and rank within length.
 from __future__ import annotations
 
 import heapq
+import json
 import struct
 import zlib
 from collections import defaultdict
+from functools import cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -23,12 +25,27 @@ from tokenizers import Tokenizer
 
 from coppice.llm.common import arrow_map, stage, utf8
 
-#: Words whose ids a worker remembers in a generation.
-REMEMBERED_WORDS = 500_000
+#: Bytes of words and ids that a task remembers in a generation; it holds two.
+REMEMBERED_BYTES = 24 << 20
+#: What a remembered word takes besides its own bytes and those of its ids.
+_ENTRY_BYTES = 160
 #: Rows of a plan range that one task spreads, and pieces that are ranked together.
 SLOTS_PER_CHUNK = 50_000
-
-_encoders: dict[str, _Encoder] = {}
+#: Steps before the model of a tokenizer for which words may be encoded one by one: it lower-cases, drops white space, and
+#: splits into runs of letters, single digits and runs of other signs.
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {
+            "type": "Split", "behavior": "Removed", "invert": True,
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
 
 
 def _byte_signs() -> dict[int, int]:
@@ -41,15 +58,37 @@ def _byte_signs() -> dict[int, int]:
 _BYTE_SIGNS = _byte_signs()
 
 
-class _Encoder:
-    """Ids of words; the words of late are remembered, in two generations."""
+@cache
+def _tokenizer(path: str) -> tuple[Tokenizer, bool]:
+    """The tokenizer of a file, and whether its file says that words may be encoded one by one."""
+    tokenizer = Tokenizer.from_file(path)
+    steps = json.loads(tokenizer.to_str())
+    return tokenizer, all(steps[k] == v for k, v in _WORDWISE.items())
+
+
+class Encoder:
+    """Ids of texts, for one task: what it remembers of words goes with it.
+
+    Where the tokenizer's file proves that words may be encoded one by one they are, and those of late are
+    remembered, in two generations bounded in bytes. Any other tokenizer encodes whole texts.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.wordwise = _tokenizer(path)
         self.model = self.tokenizer.model
-        self.stops = {s: struct.pack("<I", t[0].id) if (t := self.model.tokenize(s)) else b"" for s in ("", ".", ",")}
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
+        self.bytes = 0
+        if self.wordwise:
+            self.stops = {s: struct.pack("<I", t[0].id) if (t := self.model.tokenize(s)) else b"" for s in ("", ".", ",")}
+
+    def text_ids(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text, without special tokens."""
+        if not self.wordwise:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if text.isascii():
+            text = text.lower()
+        return self.ids(text.replace("\n", " ").split(" "))
 
     def _plain(self, word: str) -> bytes | None:
         """Ids of letters, and perhaps a stop or comma, which the tokenizer would only lower; None for other words."""
@@ -67,8 +106,8 @@ class _Encoder:
     def ids(self, words: list[str]) -> bytes:
         new = set(words).difference(self.known)
         if new:
-            if len(self.known) + len(new) > REMEMBERED_WORDS:
-                self.before, self.known = self.known, {"": b""}
+            if self.bytes > REMEMBERED_BYTES:
+                self.before, self.known, self.bytes = self.known, {"": b""}, 0
                 new = set(words).difference(self.known)
             rest = []
             for w in new:  # one by one: set methods would go through all that is remembered
@@ -76,27 +115,24 @@ class _Encoder:
                 if ids is None:
                     rest.append(w)
                 else:
-                    self.known[w] = ids
+                    self._remember(w, ids)
             for a in range(0, len(rest), 10_000):
                 part = rest[a : a + 10_000]
                 found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
                 own = np.array(found.ids, dtype="<u4").tobytes()
                 end = (np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))) * 4).tolist()
-                self.known.update(zip(part, map(own.__getitem__, map(slice, [0, *end], end)), strict=False))
+                for w, begin, stop in zip(part, [0, *end], end, strict=False):
+                    self._remember(w, own[begin:stop])
         return b"".join(map(self.known.__getitem__, words))
 
+    def _remember(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.bytes += _ENTRY_BYTES + len(word) + len(ids)
 
-def encode_text(text: str, path: str) -> bytes:
-    """Little-endian 32-bit ids of a text, without special tokens.
 
-    The tokenizer lower-cases, never joins anything across a space or line break, and drops both, so the
-    parts between them are encoded once each and remembered.
-    """
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    if text.isascii():
-        text = text.lower()
-    return _encoders[path].ids(text.replace("\n", " ").split(" "))
+def encode_text(text: str, path: str) -> bytes:
+    """Little-endian 32-bit ids of one text; see ``Encoder`` for many."""
+    return Encoder(path).text_ids(text)
 
 
 def token_pieces(
@@ -108,6 +144,7 @@ def token_pieces(
     step = 4 * max_tokens
 
     def cut(batches):
+        encoder = Encoder(tokenizer)
         for batch in batches:
             ids = batch.column(0)
             source, piece, start, length, crc, body = [], [], [], [], [], []
@@ -124,7 +161,7 @@ def token_pieces(
                 return pa.RecordBatch.from_arrays(out, names=names)
 
             for i, raw in enumerate(batch.column(1)):
-                tokens = encode_text(raw.as_py().decode("utf-8", "replace"), tokenizer) + end
+                tokens = encoder.text_ids(raw.as_py().decode("utf-8", "replace")) + end
                 for p, at in enumerate(range(0, len(tokens), step)):
                     part = tokens[at : at + step]
                     source.append(i)
@@ -134,7 +171,7 @@ def token_pieces(
                     crc.append(zlib.crc32(part))
                     if with_ids:
                         body.append(part)
-                if len(body) > 200:
+                if len(source) > 2_000 or len(body) > 200:
                     yield flush()
                     for x in (source, piece, start, length, crc, body):
                         x.clear()

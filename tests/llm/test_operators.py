@@ -447,6 +447,27 @@ def test_packing_equals_the_tokenizer(spark, docs, rows, empty):
     assert sum(len(r.ids) for r in whole) // 4 == sum(k[3] * n for k, n in wanted.items())
 
 
+def test_packing_follows_any_tokenizer_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    assert not encoder.wordwise and packing.Encoder(tokenizer_path()).wordwise
+    for text in ["", "Two  Words\n", "É é \t 12 ' s", " a" * 300]:
+        assert list(np.frombuffer(encoder.text_ids(text), "<u4")) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_forgets_words_beyond_its_bound(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 20_000)
+    encoder, fresh = packing.Encoder(tokenizer_path()), packing.Encoder(tokenizer_path())
+    for k in range(60):
+        text = " ".join(f"word{chr(97 + k % 26)}{i}x" for i in range(k, k + 40))
+        assert encoder.text_ids(text) == fresh.text_ids(text)
+        assert encoder.bytes < 20_000 + 60 * 300
+    assert packing.Encoder(tokenizer_path()).known == {"": b""}  # a new task knows no words
+
+
 def test_pipeline_stages_keep_the_columns_and_take_effect(spark, docs, empty, tmp_path):
     rng = random.Random(16)
     item = _prose(rng, 30)
