@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import decontaminate, packing, pii, similar, toxicity
+from coppice.llm import decontaminate, packing, pii, simhash, toxicity
 from coppice.llm.common import doc_remainder, documents, fresh, stage, table
 from coppice.llm.queries import END_ID, MAX_TOKENS, tokenizer_path
 
@@ -27,8 +27,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (0.8 of their runs of five words or more), that with the smallest id."""
-    return similar.keep_one(docs)
+    """One document of each group that chains of near-equal fingerprints connect, that with the smallest id.
+
+    Fingerprints are those of ``op4``: runs of three words, two bits of 64 may differ.
+    """
+    return simhash.keep_one(docs)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", toxic_out),
-    ("near-dedup", near_duplicates_out),
+    ("SimHash near-dedup", near_duplicates_out),
     ("benchmark decontamination", benchmark_out),
     ("personal data", personal_data_out),
     ("best-fit packing", packed),
@@ -62,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = documents(spark, sf_dir)
     for name, stage_function in STAGES[:-1]:
-        docs = stage(stage_function(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stage(stage_function(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
