@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import decontaminate, langid, packing, pii, quality, shards, simhash, substrings, toxicity, warc
+from coppice.llm import (
+    alignment,
+    decontaminate,
+    langid,
+    packing,
+    pii,
+    prefix_tree,
+    quality,
+    shards,
+    simhash,
+    substrings,
+    toxicity,
+    warc,
+    wordgrams,
+)
 from coppice.llm.common import doc_remainder, documents, table
 
 SHARDS = 24
@@ -91,13 +105,74 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), MAX_TOKENS, END_ID)
 
 
+def op11_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct row of first turns of the rebuilt conversations, with its members, children, leaves and savings."""
+    return prefix_tree.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
+def op12_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from those whose crc32 of the id is not 1 modulo 3."""
+    docs = documents(spark, sf_dir)
+    held_out = doc_remainder("doc_id", 3) == 1
+    model = wordgrams.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = wordgrams.quality_scores(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers on every document."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment(documents(spark, sf_dir), *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_histogram_sort, op2_decontamination, op3_bootstrapped_pii, op4_simhash, op5_language_filters,
         op6_warc_normaliser, op7_line_field, op8_recompression, op9_subword_toxicity, op10_best_fit,
+        op11_prefix_tree, op12_ftrl_quality, op13_token_alignment,
     )
 }
 
-#: Hashes, models and tokenizers are beyond SQL here; tests hold each query against brute force instead.
-ORACLES: dict[str, str] = {}
+#: crc32 by shifts: each character of the decimal id is taken in, then eight steps of the division follow.
+_PREFIX_TREE_SQL = """
+with turns as (
+  select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), keyed as (
+  select c, turn, sha256(strlen(role) || ':' || role || text) as k,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as w from turns
+), own as (
+  select c, list({'k': k, 'w': w} order by turn nulls first, k) as p,
+    xor(list_reduce(
+      list_prepend(4294967295::bigint, flatten(list_transform(string_split(c::varchar, ''),
+        lambda x: list_prepend(ascii(x)::bigint, list_value(-1, -1, -1, -1, -1, -1, -1, -1)::bigint[])))),
+      lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, 3988292384 * (a & 1)) end
+    ), 4294967295::bigint) % 4 as h
+  from keyed group by c
+), rebuilt as (
+  select o.c, list_concat(coalesce(list_slice(b.p, 1, o.h), []), list_slice(o.p, o.h + 1, len(o.p))) as p
+  from own o left join own b on b.c = o.c - o.c % 20
+), prefixes as (
+  select c, len(p) as size, d, array_to_string(list_transform(list_slice(p, 1, d), lambda x: x.k), '') as pre,
+    array_to_string(list_transform(list_slice(p, 1, d - 1), lambda x: x.k), '') as up,
+    case when d = 0 then 0 else p[d].w end as w
+  from (select c, p, unnest(range(len(p) + 1)) as d from rebuilt)
+), nodes as (
+  select d, pre, min(up) as up, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * min(w) as saved,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (size = d), '')) as ends_sha256
+  from prefixes group by d, pre
+), children as (
+  select d - 1 as d, up as pre, count(*) as n from nodes where d > 0 group by all
+), known as (
+  select n.*, coalesce(k.n, 0) as n_children from nodes n left join children k on k.d = n.d and k.pre = n.pre
+), sums as (
+  select a.d, a.pre, sum((k.n_children = 0)::bigint) as n_leaves, sum(k.saved) as saved_tokens
+  from known k join prefixes a on a.c = k.conv_id and a.d <= k.d group by all
+)
+select k.conv_id, k.d as depth, p.conv_id as parent_conv_id, k.n_convs, k.n_children, s.n_leaves::bigint as n_leaves,
+  s.saved_tokens::bigint as saved_tokens, k.ends_sha256
+from known k join sums s on s.d = k.d and s.pre = k.pre left join known p on k.d > 0 and p.d = k.d - 1 and p.pre = k.up
+"""
+
+#: Other models, hashes and tokenizers are beyond SQL here; tests hold each query against brute force instead.
+ORACLES: dict[str, str] = {"op11_prefix_tree": _PREFIX_TREE_SQL}
