@@ -327,13 +327,14 @@ def alignment(
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     chunks = aligned_chunks(docs, path_a, path_b, id_col, text_col, chunk_bytes)
-    known = _listed(chunks).select("chunk", "place", "pair").join(pair_counts(chunks), "pair").select("chunk", "place", "count", "best")
-    texts = chunks.filter("pairs is null").drop("pairs", "total")
+    sums = _listed(chunks).select(F.col("chunk").alias("of"), "place", "pair").join(pair_counts(chunks), "pair")
+    known = sums.select("of", "place", "count", "best")
+    texts = chunks.filter("pairs is null").drop("pairs", "total").withColumn("in", F.col("chunk") + 0)
     schema = (
         f"id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     )
 
-    def look_up(rows: pa.Table, sums: pa.Table) -> pa.Table:
+    def look_up(rows, sums):
         place = sums.column("place").to_numpy()
         count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         count[place], best[place] = sums.column("count").to_numpy(), sums.column("best").to_numpy(zero_copy_only=False)
@@ -348,5 +349,5 @@ def alignment(
         return kept.append_column("groups_sha256", rows.column("hash"))
 
     # a chunk without a link has no sums, but its texts are rows all the same
-    found = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(look_up, schema)
+    found = texts.groupBy("in").cogroup(known.groupBy("of")).applyInArrow(look_up, schema)
     return found.withColumnRenamed("id", id_col)

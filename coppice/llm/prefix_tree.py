@@ -314,12 +314,12 @@ def _first_level(sequences: DataFrame, shards: int) -> DataFrame:
 def _next_level(nodes: DataFrame, last: bool) -> DataFrame:
     """One level of merging: ``FAN_IN`` neighbouring shards become one."""
 
-    def merge(key, table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def merge(key, table):
         parts: dict[int, list[Node]] = {}
         for r in table.drop_columns(["group"]).to_pylist():
             parts.setdefault(r.pop("shard"), []).append(Node(**r))
         rows, open_ = closed(merged(parts.items()), last)
-        batches = list(_written(key[0].as_py(), rows, open_))
+        batches = _written(key[0].as_py(), rows, open_)
         return pa.Table.from_batches(batches)
 
     grouped = nodes.withColumn("group", F.floor(F.col("shard") / FAN_IN).cast("long")).groupBy("group")

@@ -187,7 +187,7 @@ def learn(
     ]
     if not chosen:
         return fit([], [])
-    ids = docs.sparkSession.createDataFrame([(r.id, r.label, i) for i, r in enumerate(chosen)], known.schema.add("nth", "int"))
+    ids = docs.sparkSession.createDataFrame([(r.id, r.label, i) for i, r in enumerate(chosen)], known.schema.add("nth", "integer"))
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(ids), "id")
     texts = texts.groupBy("nth", "label").agg(F.min("text").alias("text")).select("nth", "label", "text")
 
