@@ -25,14 +25,8 @@ from pyspark.sql import functions as F
 from coppice.functions import bag_weight, out_of_bag, safe_ratio
 from coppice.operators.encode import CategoryEncoder
 from coppice.operators.evaluate import fit_metrics
-from coppice.operators.explain import (
-    BASELINE,
-    Scorer,
-    block_count,
-    permuted_variants,
-    require_row_ids,
-    with_permuted,
-)
+from coppice.operators.explain import Scorer, block_count, require_row_ids, with_permuted
+from coppice.operators.trees import flatten, hash_seed, scaled_importance, tree_importance, tree_scores
 from coppice.session import stage
 
 _FEATURES = "__features"
@@ -220,11 +214,6 @@ def _weight(ids: list[str], seed: int, replicate: int, bag: int) -> Column:
     return bag_weight(ids, bag, hash_seed(seed, replicate))
 
 
-def hash_seed(seed: int, replicate: int) -> int:
-    """Seed of a replicate."""
-    return seed * 100_003 + replicate
-
-
 def run_all(spark: SparkSession, jobs: Iterable[Callable], parallelism: int) -> list:
     """Run independent Spark jobs from a bounded pool of driver threads, in order."""
     inherit = inheritable_thread_target(spark)
@@ -272,19 +261,11 @@ def fit_replicates(
 def oob_predictions(
     forests: Sequence[BaggedForest], table: ModelTable, carried: Sequence[str] = ()
 ) -> DataFrame:
-    """Out-of-bag prediction of every row in every replicate, long by ``iteration``."""
-    parts = []
-    for forest in forests:
-        scored = forest.raw_scores(table.df)
-        parts.append(
-            scored.select(
-                F.lit(forest.replicate).alias("iteration"),
-                *dict.fromkeys([*table.ids, *carried]),
-                F.col(table.label).alias("observed"),
-                forest.combined_out_of_bag(table.ids).alias("predicted"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    """Out-of-bag prediction of every row in every replicate, long by ``iteration``.
+
+    All replicates are scored in one pass over the rows, as far as their nodes fit (``trees.PASS_BYTES``).
+    """
+    return tree_scores(flatten(forests), table.df, table.label, [*table.ids, *carried], table.ids)
 
 
 def replicate_metrics(oob: DataFrame, by: str = "iteration") -> DataFrame:
@@ -293,20 +274,14 @@ def replicate_metrics(oob: DataFrame, by: str = "iteration") -> DataFrame:
 
 
 def forest_importance(
-    forests: Sequence[BaggedForest],
-    table: ModelTable,
-    blocks: int | None = None,
-    seed: int = 0,
-    parallelism: int = 4,
+    forests: Sequence[BaggedForest], table: ModelTable, blocks: int | None = None, seed: int = 0
 ) -> DataFrame:
     """Scaled permutation importance of every feature in every replicate.
 
     The repeats are the bags of a replicate, each judged on its own out-of-bag rows. The
-    permuted columns serve all replicates and are staged once. Every (replicate, bag) is a
-    job that scores only its out-of-bag rows, a third of the table, and shuffles one
-    partial mean per variable and task; one number per variable returns to the driver.
+    permuted columns serve all replicates and are staged once; all replicates are then scored in one
+    pass over them, as far as their nodes fit (``trees.PASS_BYTES``).
     """
-    spark = table.df.sparkSession
     blocks = blocks or block_count(table.df, table.ids)
     needed = table.df.select(*table.ids, *table.features, table.label)
     permuted = stage(
@@ -314,32 +289,8 @@ def forest_importance(
         "permuted",
         spread=True,
     )
-    assembler = VectorAssembler(inputCols=table.features, outputCol=_FEATURES)
-
-    def job(forest: BaggedForest, bag: int):
-        def measure() -> list[tuple]:
-            unseen = permuted.where(forest.unseen(table.ids, bag))
-            variants = permuted_variants(unseen, table.features)
-            scored = forest.bags[bag].transform(assembler.transform(variants))
-            error = F.pow(F.col(f"__bag{bag}") - F.col(table.label), F.lit(2))
-            rows = scored.groupBy("variable").agg(F.avg(error).alias("mse")).collect()
-            errors = {r["variable"]: r["mse"] for r in rows}
-            return [
-                (forest.replicate, bag, f, errors[f] - errors[BASELINE])
-                for f in table.features
-                if f in errors
-            ]
-
-        return measure
-
-    jobs = [job(f, b) for f in forests for b in range(len(f.bags))]
-    rises = [row for rows in run_all(spark, jobs, parallelism) for row in rows]
-    deltas = spark.createDataFrame(rises, "iteration int, bag int, variable string, delta double")
-    n = F.count("delta")
-    return deltas.groupBy("iteration", "variable").agg(
-        F.avg("delta").alias("importance"),
-        safe_ratio(F.avg("delta"), F.stddev_samp("delta") / F.sqrt(n)).alias("importance_z"),
-    )
+    deltas = tree_importance(flatten(forests), permuted, table.ids, table.label)
+    return scaled_importance(deltas)
 
 
 def score_models(

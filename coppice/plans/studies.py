@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from coppice.operators import tuning
 from coppice.operators.charts import dependence_lines, dependence_strip, top_variables
 from coppice.operators.evaluate import transfer_metrics
-from coppice.operators.explain import average_curves, code_grid, grid_values, partial_dependence
+from coppice.operators.explain import average_curves, grid_values
 from coppice.operators.forest import (
     BaggedForest,
     ForestSpec,
@@ -23,8 +23,8 @@ from coppice.operators.forest import (
     oob_predictions,
     replicate_metrics,
     run_all,
-    score_models,
 )
+from coppice.operators.trees import flatten, tree_curves, tree_scores
 from coppice.session import stage
 
 
@@ -52,7 +52,7 @@ def run_study(
     """Fit the replicates and derive out-of-bag predictions, metrics and importances."""
     forests = fit_replicates(table, spec, replicates, parallelism)
     predictions = stage(oob_predictions(forests, table, carried), "oob")
-    importance = stage(forest_importance(forests, table, parallelism=parallelism), "importance")
+    importance = stage(forest_importance(forests, table), "importance")
     return Study(
         table,
         forests,
@@ -65,11 +65,20 @@ def run_study(
 
 def dependence_grid(
     table: ModelTable, variables: Sequence[str], resolution: int | None = None
-) -> dict[str, list[float]]:
-    """Grid per variable: equally spaced for numbers, every level for categories."""
+) -> DataFrame:
+    """``variable, grid_index, value``: equally spaced points for numbers, every level code for categories."""
+    spark = table.df.sparkSession
     numeric = [v for v in variables if v not in table.levels]
-    grid = grid_values(table.df, numeric, resolution) if numeric else {}
-    return {v: grid[v] if v in grid else code_grid(table.levels[v]) for v in variables}
+    points = grid_values(table.df, numeric, resolution) if numeric else {}
+    rows = [(v, i, x) for v, xs in points.items() for i, x in enumerate(xs)]
+    grid = spark.createDataFrame(rows, "variable string, grid_index int, value double")
+    for v in variables:
+        if v in table.levels:
+            codes = spark.range(table.levels[v]).select(
+                F.lit(v).alias("variable"), F.col("id").cast("int").alias("grid_index"), F.col("id").cast("double").alias("value")
+            )
+            grid = grid.unionByName(codes)
+    return grid
 
 
 def replicate_curves(
@@ -79,14 +88,7 @@ def replicate_curves(
     resolution: int | None = 20,
 ) -> DataFrame:
     """Dependence curve of each variable in each already fitted replicate."""
-    grid = dependence_grid(table, variables, resolution)
-    curves = [
-        partial_dependence(table.df, f.scorer(), grid, table.features).withColumn(
-            "model_run", F.lit(f.replicate)
-        )
-        for f in forests
-    ]
-    return reduce(DataFrame.unionByName, curves)
+    return tree_curves(flatten(forests), table.df, dependence_grid(table, variables, resolution))
 
 
 def dependence_tables(
@@ -118,8 +120,8 @@ def run_transfer(
     if study_table.encoder:
         rows = study_table.encoder.transform(rows)
     rows = rows.withColumns({f: F.col(f).cast("double") for f in study_table.features})
-    scorers = {f.replicate: f.scorer() for f in forests}
-    long = score_models(scorers, rows, study_table.label, list(kept.values()))
+    long = tree_scores(flatten(forests), rows, study_table.label, list(kept.values()), iteration="model")
+    long = long.select("model", "observed", "predicted", *kept.values())
     predictions = long.withColumnsRenamed({n: c for c, n in kept.items()})
     return predictions, transfer_metrics(predictions, ["model"])
 
@@ -146,7 +148,7 @@ def run_difference_study(
     predictions = [oob_predictions([forest], part) for part, forest in fits.values()]
     importance = run_all(
         rows.sparkSession,
-        [lambda p=p, f=f: forest_importance([f], p, parallelism=1) for p, f in fits.values()],
+        [lambda p=p, f=f: forest_importance([f], p) for p, f in fits.values()],
         parallelism,
     )
     parts = [part for part, _ in fits.values()]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,3 +88,20 @@ def stage(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFram
             staged.repartition(wanted).write.parquet(wide_path)
             staged = spark.read.schema(df.schema).parquet(wide_path)
     return staged
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="coppice-py-"))  # the driver serves the file from here
+    with zipfile.ZipFile(folder / "coppice.zip", "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(folder / "coppice.zip"))
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()

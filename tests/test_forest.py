@@ -132,7 +132,7 @@ def test_refit_repeats_exactly(table, forests):
 
 
 def test_importance_finds_the_planted_order(table, forests):
-    rows = forest_importance(forests, table, parallelism=8).collect()
+    rows = forest_importance(forests, table).collect()
     assert len(rows) == 8
     for i in (1, 2):
         z = {r.variable: r.importance for r in rows if r.iteration == i}
