@@ -5,6 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,3 +147,64 @@ class CategoryEncoder:
             code = F.when(F.col("__level").isNotNull(), code)
             df = coded.withColumn(c, code).drop("__code", "__level")
         return df.select(*order)
+
+
+class LevelEncoder(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """``CategoryEncoder`` as a pipeline stage: replaces the input columns by their level codes.
+
+    A level that training has not seen gets the code one past the last known one; nulls stay null.
+    """
+
+    @keyword_only
+    def __init__(self, *, inputCols: list[str] | None = None):
+        super().__init__()
+        if inputCols is not None:
+            self._set(inputCols=inputCols)
+
+    def _fit(self, dataset: DataFrame) -> LevelEncoderModel:
+        columns = self.getInputCols()
+        rows = stage(dataset.select(*columns), "uncoded")
+        return LevelEncoderModel(CategoryEncoder.fit(rows, columns))._set(inputCols=columns)
+
+
+class LevelEncoderModel(Model, HasInputCols, MLReadable, MLWritable):
+    """Fitted ``LevelEncoder``; saved with its levels as Parquet."""
+
+    def __init__(self, encoder: CategoryEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.encoder.transform(dataset)
+
+    def write(self) -> MLWriter:
+        return _LevelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _LevelReader(cls)
+
+
+class _LevelWriter(MLWriter):
+    def __init__(self, model: LevelEncoderModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        extra = {"counts": self.model.encoder.counts}
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata=extra)
+        self.model.encoder.levels.write.mode("overwrite").parquet(f"{path}/levels")
+
+
+class _LevelReader(MLReader):
+    def __init__(self, kind: type):
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str) -> LevelEncoderModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        levels = self.sparkSession.read.parquet(f"{path}/levels")
+        model = self.kind(CategoryEncoder(levels, dict(metadata["counts"])))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model

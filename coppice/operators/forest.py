@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import bag_weight, out_of_bag, safe_ratio
-from coppice.operators.encode import CategoryEncoder
+from coppice.operators.encode import CategoryEncoder, LevelEncoder
 from coppice.operators.evaluate import fit_metrics
 from coppice.operators.explain import Scorer, block_count, require_row_ids, with_permuted
 from coppice.operators.trees import flatten, hash_seed, scaled_importance, tree_importance, tree_scores
@@ -154,6 +154,18 @@ def workflow(table: ModelTable, spec: ForestSpec) -> Pipeline:
     return Pipeline(stages=[assembler, forest])
 
 
+def raw_workflow(label: str, features: Sequence[str], categorical: Sequence[str], spec: ForestSpec) -> Pipeline:
+    """Level codes, assembler and plain forest as one pipeline over raw rows; saved and loaded as a whole.
+
+    Fitted, it takes rows with the original categories, unseen ones included. Numbers may be of any numeric type;
+    rows with a missing feature are left out.
+    """
+    coder = [LevelEncoder(inputCols=list(categorical))] if categorical else []
+    assembler = VectorAssembler(inputCols=list(features), outputCol=_FEATURES, handleInvalid="skip")
+    forest = spec.estimator(len(features), spec.trees, spec.seed).setLabelCol(label).setBootstrap(True)
+    return Pipeline(stages=[*coder, assembler, forest])
+
+
 @dataclass(frozen=True)
 class BaggedForest:
     """One fitted replicate."""
@@ -334,20 +346,26 @@ def fit_per_group(
     categorical: Sequence[str] = (),
     carried: Sequence[str] = (),
     parallelism: int = 4,
+    max_groups: int = 1_000,
 ) -> dict[object, tuple[ModelTable, BaggedForest]]:
-    """One forest per value of ``group`` (a replicate number, so few values).
+    """One forest per value of ``group`` (a replicate number, so few values), null included.
 
     The groups are fitted as separate distributed jobs over one encoded, staged table; no
     group is ever brought to a single task, however unequal their sizes. ``ids`` need to
-    identify a row within its group only. A whole-number key is its forest's replicate number; other keys are numbered.
+    identify a row within its group only. A forest is numbered by its key if all keys are whole numbers of 32 bits, else in the order of
+    keys from 1. More than ``max_groups`` keys are refused before anything is fitted.
     """
     row_ids = [group, *ids] if ids else []
     others = [*carried] if ids else [group, *carried]
     table = prepare(df, label, features, row_ids, categorical, others, cluster_by=group)
     column = table.ids[0] if ids else table.carried[0]
-    keys = [r[0] for r in table.df.select(column).distinct().orderBy(column).collect()]
-    tables = {k: replace(table, df=table.df.where(F.col(column) == F.lit(k))) for k in keys}
-    numbers = [k if isinstance(k, int) else i for i, k in enumerate(keys, 1)]
+    keys = [r[0] for r in table.df.select(column).distinct().limit(max_groups + 1).collect()]
+    if len(keys) > max_groups:
+        raise ValueError(f"{group} has more than {max_groups} values: each is a model of its own, so say so by max_groups")
+    keys.sort(key=lambda k: (k is not None, k))
+    tables = {k: replace(table, df=table.df.where(F.col(column).eqNullSafe(F.lit(k)))) for k in keys}
+    whole = all(isinstance(k, int) and not isinstance(k, bool) and abs(k) < 2**31 for k in keys)
+    numbers = keys if whole else range(1, len(keys) + 1)
     fits = run_all(
         df.sparkSession,
         [lambda t=t, i=i: fit_replicates(t, spec, [i], 1)[0] for i, t in zip(numbers, tables.values(), strict=True)],
@@ -356,6 +374,15 @@ def fit_per_group(
     return {k: (t, f) for (k, t), f in zip(tables.items(), fits, strict=True)}
 
 
+def group_names(fits: dict[object, tuple[ModelTable, BaggedForest]], group: str = "model") -> DataFrame:
+    """``iteration, group``: the key of each numbered forest of ``fit_per_group``, as many rows as it has fitted."""
+    (table, _), *_ = fits.values()
+    column = next(c for c in (group, f"__id_{group}", f"__as_{group}") if c in table.df.columns)
+    rows = [(forest.replicate, key) for key, (_, forest) in fits.items()]
+    kind = table.df.schema[column].dataType.simpleString()
+    return table.df.sparkSession.createDataFrame(rows, f"iteration int, `{group}` {kind}")
+
+
 def linear_fit_per_group(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Least-squares line per group by combinable aggregates."""
     return df.groupBy(group).agg(

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coppice.functions import r2_explained, rmse, stable_hash, uniform01
 from coppice.operators.evaluate import cv_metric_summary
-from coppice.operators.forest import ForestSpec, ModelTable, run_all, with_spec, workflow
+from coppice.operators.explain import Scorer
+from coppice.operators.forest import ForestSpec, ModelTable, fit_replicates, run_all, with_spec, workflow
 from coppice.operators.reshape import to_long
 from coppice.operators.sampling import holdout_split, kfold_assign
 from coppice.session import stage
@@ -72,6 +74,13 @@ def _spec_for(base: ForestSpec, point: Mapping[str, int]) -> ForestSpec:
     return with_spec(base, trees=point["trees"], mtry=point["mtry"], min_node=point["min_n"])
 
 
+def _fitted(table: ModelTable, spec: ForestSpec, hashed_bags: bool) -> Scorer:
+    """A forest of the rows of ``table``, as a scorer."""
+    if hashed_bags:
+        return fit_replicates(table, spec, [1], 1)[0].scorer()
+    return workflow(table, spec).fit(table.df).transform
+
+
 def grid_search(
     table: ModelTable,
     candidates: DataFrame,
@@ -79,11 +88,13 @@ def grid_search(
     folds: int = 5,
     seed: int = 0,
     parallelism: int = 4,
+    hashed_bags: bool = False,
 ) -> DataFrame:
     """Fit every candidate on every fold; long metrics (config, parameters, fold, metric).
 
     Folds are a column of one staged table. Each fit and its assessment is a job of its
-    own, submitted from a bounded pool; only two numbers per job return to the driver.
+    own, submitted from a bounded pool; only two numbers per job return to the driver. With ``hashed_bags``
+    candidates are bagged as final models are, each bag by a hash of the row ids; else by MLlib, in one fit.
     """
     spark = table.df.sparkSession
     folded = stage(kfold_assign(table.df, table.ids, folds, seed, "__fold"), "folds", spread=True)
@@ -91,9 +102,9 @@ def grid_search(
 
     def job(config: str, point: dict[str, int], fold: int):
         def assess():
-            pipeline = workflow(table, _spec_for(base, point))
-            model = pipeline.fit(folded.where(F.col("__fold") != fold))
-            scored = model.transform(folded.where(F.col("__fold") == fold))
+            training = replace(table, df=folded.where(F.col("__fold") != fold))
+            score = _fitted(training, _spec_for(base, point), hashed_bags)
+            scored = score(folded.where(F.col("__fold") == fold))
             row = scored.agg(
                 rmse("prediction", table.label).alias("rmse"),
                 r2_explained("prediction", table.label).alias("rsq"),
@@ -135,11 +146,12 @@ def last_fit(
     base: ForestSpec = ForestSpec(),
     train_fraction: float = 0.75,
     seed: int = 0,
+    hashed_bags: bool = False,
 ) -> DataFrame:
-    """Refit the chosen candidate on the training rows and report on the held-out ones."""
+    """Refit the chosen candidate on the training rows and report on the held-out ones; see ``grid_search`` for the bags."""
     split = holdout_split(table.df, table.ids, train_fraction, seed, "__train")
-    model = workflow(table, _spec_for(base, best)).fit(split.where("__train"))
-    scored = model.transform(split.where("not __train"))
+    score = _fitted(replace(table, df=split.where("__train")), _spec_for(base, best), hashed_bags)
+    scored = score(split.where("not __train"))
     wide = scored.agg(
         rmse("prediction", table.label).alias("rmse"),
         r2_explained("prediction", table.label).alias("rsq"),
