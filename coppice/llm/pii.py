@@ -1,6 +1,7 @@
 """Personal data: fixed formats, and identifiers found through the contexts that known ones share.
 
-Fixed formats (email, ip, card, phone) give the seeds. The words next to seeds induce patterns: *the
+Fixed formats (email, ip, card, phone) give the seeds, and so do tokens that look like keys or digests, which may also be
+harmless: those count as found only where a pattern says so. The words next to seeds induce patterns: *the
 token after this word*, *the token before that word*. Patterns and the tokens they hold form a graph, which
 Spark scores in rounds: a pattern is as good as the share of its places, anywhere in the corpus, that hold
 trusted tokens; a token is as trusted as its patterns together make it. Patterns above a threshold then
@@ -33,8 +34,15 @@ HELD = 200_000
 #: Bits of the filter that spares most words the way to the counts of patterns (1 MB).
 FILTER_BITS = 1 << 23
 _PAGE = 32_768
-#: Characters of a word that count.
-_CUT = 40
+#: Characters up to which a word is its own name; a longer one is named by a digest.
+_LONG = 40
+#: Fixed formats of keys and digests: seeds, but no spans of their own.
+_SECRET = re.compile(
+    r"[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|AKIA[0-9A-Z]{16}|gh[oprsu]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|"
+    r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}|eyJ[\w-]+\.[\w-]+\.[\w-]+"
+)
+#: What is known of a token: a fixed format has it, it looks like a key, it may be an identifier.
+_BASE, _KEY, _MAYBE = 2, 1, 0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -107,7 +115,14 @@ def _identifier(text: str, start: int, end: int) -> tuple[int, int] | None:
 
 
 def _word(token: str) -> str:
-    return token.lower()[:_CUT]
+    return _named(token.lower())
+
+
+def _named(word: str) -> str:
+    """A word, or a digest of a long one."""
+    if len(word) <= _LONG:
+        return word
+    return "#" + hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=18).hexdigest()
 
 
 def _bounds(text: str, at: int) -> tuple[int, int]:
@@ -136,9 +151,9 @@ def _neighbours(text: str, start: int, end: int) -> tuple[str | None, str | None
 
 
 def _tokens(text: str, base: list[tuple[int, int, int]]):
-    """(start, end, seed) of base spans and of tokens that may be identifiers and touch no base span."""
+    """(start, end, what is known) of base spans and of tokens that may be identifiers and touch no base span."""
     for a, b, _ in base:
-        yield a, b, True
+        yield a, b, _BASE
     k, last = 0, -1
     ordered = sorted((a, b) for a, b, _ in base)
     for digit in _DIGIT.finditer(text):
@@ -151,7 +166,7 @@ def _tokens(text: str, base: list[tuple[int, int, int]]):
         while k < len(ordered) and ordered[k][1] <= core[0]:
             k += 1
         if k == len(ordered) or ordered[k][0] >= core[1]:
-            yield *core, False
+            yield *core, _KEY if _SECRET.fullmatch(text, *core) else _MAYBE
 
 
 def _graph(docs: DataFrame, text_col: str) -> DataFrame:
@@ -162,7 +177,8 @@ def _graph(docs: DataFrame, text_col: str) -> DataFrame:
             found: Counter = Counter()  # at most as large as the texts of a batch
             for raw in batch.column(0):
                 text = raw.as_py().decode("utf-8", "replace")
-                for a, b, seed in _tokens(text, base_spans(text)):
+                for a, b, known in _tokens(text, base_spans(text)):
+                    seed = known > _MAYBE
                     before, after = _neighbours(text, a, b)
                     # a digest names a token: only whether two are equal counts
                     token = hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=12).digest()
@@ -203,9 +219,10 @@ def _places(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
     def counted(found):
         bits, kept = shared.value, Counter()
         for token, n in found.items():
-            slot = zlib.crc32(token[:_CUT].encode()) % FILTER_BITS
+            word = _named(token)
+            slot = zlib.crc32(word.encode()) % FILTER_BITS
             if bits[slot >> 3] >> (slot & 7) & 1:
-                kept[token[:_CUT]] += n
+                kept[word] += n
         return pa.RecordBatch.from_arrays(
             [pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "places"]
         )
@@ -255,8 +272,8 @@ def learn_patterns(
 
 def _in_context(text: str, base: list[tuple[int, int, int]], patterns: set[tuple[str, str]]):
     """(start, end) of tokens that a pattern holds."""
-    for a, b, seed in _tokens(text, base) if patterns else ():
-        if not seed:
+    for a, b, known in _tokens(text, base) if patterns else ():
+        if known < _BASE:
             before, after = _neighbours(text, a, b)
             if ("L", before) in patterns or ("R", after) in patterns:
                 yield a, b

@@ -246,6 +246,25 @@ def test_contexts_discover_identifiers_and_leave_other_numbers_alone(spark, docs
     assert changed.n_chars == len(changed.text)
 
 
+def test_keys_are_found_where_a_context_says_so(spark):
+    rng = random.Random(10)
+
+    def digest():
+        return "".join(rng.choice("0123456789abcdef") for _ in range(40))
+
+    long_word = "credential-" + "x" * 60
+    texts = [f'of the token = "{digest()}" and so on' for _ in range(12)] + [f"the {long_word}:a {digest()} it is" for _ in range(12)]
+    texts += ['again token = "user77admin" was', f"the {long_word}:a pass2word1 it", f"the {long_word}:b pass2word1 done"]
+    texts += [f"in commit {digest()} of {rng.choice('the a by in on at'.split())} tree" for _ in range(4)] + ["the and of in"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.side, r.word[:1]) for r in pii.learn_patterns(df).collect()} >= {("L", "="), ("L", "#")}
+    found = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    assert all(found[i].n_context == 1 for i in range(26)) and found[24].spans == "context:15:26"
+    # words are told apart by their ends, and a digest without a context is nobody's
+    assert all(found[i].spans == "" for i in range(26, len(texts)))
+    assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in found.values())
+
+
 def test_leaks_equal_brute_force(spark, docs, empty):
     rng = random.Random(4)
 
