@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from coppice.llm.common import arrow_map, stage, utf8
 
 #: Bytes of words and ids that a task remembers in a generation; it holds two.
-REMEMBERED_BYTES = 24 << 20
+REMEMBERED_BYTES = 48 << 20
 #: What a remembered word takes besides its own bytes and those of its ids.
 _ENTRY_BYTES = 160
 #: Rows of a plan range that one task spreads, and pieces that are ranked together.
@@ -90,18 +90,26 @@ class Encoder:
             text = text.lower()
         return self.ids(text.replace("\n", " ").split(" "))
 
+    def _letters(self, low: str) -> bytes:
+        """Ids of letters that the tokenizer's first steps leave as they are."""
+        found = self.model.tokenize(low)
+        return struct.pack("<I", found[0].id) if len(found) == 1 else struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
     def _plain(self, word: str) -> bytes | None:
         """Ids of letters, and perhaps a stop or comma, which the tokenizer would only lower; None for other words."""
+        if word.isascii() and word.isalpha():
+            return self._letters(word.lower())
         letters, stop = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-        low = letters.lower()
-        if not low.isalpha() or len(low) != len(letters) or "\u03a3" in letters:
+        if not letters.isalpha():
             return None
-        if not low.isascii():
+        low = letters.lower()
+        if not letters.isascii():
+            if "\u03a3" in letters or len(low) != len(letters) or not low.isalpha():
+                return None
             if not (is_normalized("NFC", letters) and is_normalized("NFC", low)):
                 return None
             low = low.encode().decode("latin-1").translate(_BYTE_SIGNS)
-        ids = [t.id for t in self.model.tokenize(low)]
-        return struct.pack(f"<{len(ids)}I", *ids) + self.stops[stop]
+        return self._letters(low) + self.stops[stop]
 
     def ids(self, words: list[str]) -> bytes:
         new = set(words).difference(self.known)
@@ -109,26 +117,25 @@ class Encoder:
             if self.bytes > REMEMBERED_BYTES:
                 self.before, self.known, self.bytes = self.known, {"": b""}, 0
                 new = set(words).difference(self.known)
-            rest = []
+            known, before, rest = self.known, self.before, []
+            size = _ENTRY_BYTES * len(new)
             for w in new:  # one by one: set methods would go through all that is remembered
-                ids = self.before[w] if w in self.before else self._plain(w)
+                ids = before[w] if w in before else self._plain(w)
                 if ids is None:
                     rest.append(w)
                 else:
-                    self._remember(w, ids)
+                    known[w] = ids
+                    size += len(w) + len(ids)
             for a in range(0, len(rest), 10_000):
                 part = rest[a : a + 10_000]
                 found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
                 own = np.array(found.ids, dtype="<u4").tobytes()
                 end = (np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))) * 4).tolist()
-                for w, begin, stop in zip(part, [0, *end], end, strict=False):
-                    self._remember(w, own[begin:stop])
+                known.update(zip(part, map(own.__getitem__, map(slice, [0, *end], end)), strict=False))
+                size += len(own) + sum(map(len, part))
+            self.bytes += size
         return b"".join(map(self.known.__getitem__, words))
 
-    def _remember(self, word: str, ids: bytes) -> None:
-        self.known[word] = ids
-        self.bytes += _ENTRY_BYTES + len(word) + len(ids)
-
 
 def encode_text(text: str, path: str) -> bytes:
     """Little-endian 32-bit ids of one text; see ``Encoder`` for many."""
