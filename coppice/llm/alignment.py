@@ -118,7 +118,9 @@ class Pieces:
 
         A part that begins with no space loses the added one again, which is a token of its own before other white space.
         """
-        found = self.model.encode([p[1:] if p[:1] == " " else p for p in parts], num_threads=1)
+        bare = [p[1:] if p[:1] == " " else p for p in parts]
+        # one by one, as the library would start a thread for a list
+        found = [self.model.encode(p) for p in bare]
         return [
             (ids or [self.space]) if p[:1] == " " else ids[1:] for p, ids in zip(parts, found, strict=True)
         ]
@@ -129,6 +131,7 @@ def load(path: str) -> ByteLevel | Pieces:
     """The tokenizer of a file, by its ending; of fixed size, so a worker keeps it."""
     tokenizer = ByteLevel(path) if path.endswith(".json") else Pieces(path)
     tokenizer.sizes = [len(b) for b in tokenizer.bytes]
+    tokenizer.names = [str(i) for i in range(len(tokenizer.bytes))]
     return tokenizer
 
 
@@ -161,26 +164,27 @@ def align_parts(parts: list[str], ids_a: list[int], ids_b: list[int], a, b) -> l
         return None
     ends_a, ends_b = end_places(ids_a, a.sizes), end_places(ids_b, b.sizes)
     cuts = groups(ends_a, ends_b)
-    ends = np.cumsum([len(x) for x in bodies])
-    if not all([end in ends_a and end in ends_b for end in ends.tolist()]):
-        return None
     # within a group, each stretch between two ends of either side is the overlap of one pair
     every = np.array(sorted(ends_a.keys() | ends_b.keys()))
     at_a, at_b = np.searchsorted(np.fromiter(ends_a, np.int64), every), np.searchsorted(np.fromiter(ends_b, np.int64), every)
     pairs = (np.array(ids_a, np.int64)[at_a] << 32 | np.array(ids_b, np.int64)[at_b]).tobytes()
-    n_links = np.searchsorted(every, ends, "right").tolist()
-    text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
+    text_a, text_b = [a.names[i] for i in ids_a], [b.names[i] for i in ids_b]
     written = [
-        f"{text_a[i]}|{text_b[j]}" if k - i == 1 == m - j else ",".join(text_a[i:k]) + "|" + ",".join(text_b[j:m])
+        text_a[i] + "|" + text_b[j] if k - i == 1 == m - j else ",".join(text_a[i:k]) + "|" + ",".join(text_b[j:m])
         for i, k, j, m in cuts
     ]
     past_a = [k for _, k, _, _ in cuts]
-    out, a0, b0, g0, l0 = [], 0, 0, 0, 0
-    for end, links in zip(ends.tolist(), n_links, strict=True):
-        a1, b1 = ends_a[end], ends_b[end]
+    out, end, a0, b0, g0, l0 = [], 0, 0, 0, 0, 0
+    for body in bodies:
+        end += len(body)
+        a1, b1 = ends_a.get(end), ends_b.get(end)
+        if a1 is None or b1 is None:
+            return None
         g1 = bisect_left(past_a, a1, g0) + 1
-        out.append((a1 - a0, b1 - b0, g1 - g0, pairs[8 * l0 : 8 * links], ";".join(written[g0:g1])))
-        a0, b0, g0, l0 = a1, b1, g1, links
+        # a link for each token of either side, less one for each group
+        l1 = l0 + (a1 - a0) + (b1 - b0) - (g1 - g0)
+        out.append((a1 - a0, b1 - b0, g1 - g0, pairs[8 * l0 : 8 * l1], ";".join(written[g0:g1])))
+        a0, b0, g0, l0 = a1, b1, g1, l1
     return out
 
 
@@ -223,14 +227,18 @@ class Aligner:
             if self.bytes > REMEMBERED_BYTES:
                 self.known, self.bytes = {}, 0
             known = self.known
-            new = list({w for w in words if w not in known})
+            new = list(set(words) - known.keys()) if len(words) > len(known) else [w for w in set(words) if w not in known]
             for at in range(0, len(new), 4096):
                 self._learn(new[at : at + 4096])
             found = list(map(known.__getitem__, words))
-        if None in found:
+        try:
+            n_a = sum(map(itemgetter(0), found))
+        except TypeError:  # one of the parts has no tokens
             return nothing
-        counts = tuple(sum(map(itemgetter(k), found)) for k in range(3))
-        return counts, np.frombuffer(b"".join(map(itemgetter(3), found)), np.int64), ";".join(map(itemgetter(4), found))
+        pairs = np.frombuffer(b"".join(map(itemgetter(3), found)), np.int64)
+        written = ";".join(map(itemgetter(4), found))
+        n_groups = written.count(";") + 1
+        return (n_a, len(pairs) + n_groups - n_a, n_groups), pairs, written
 
 
 def _numbers(values: np.ndarray) -> bytes:
