@@ -191,19 +191,23 @@ def run_tuning(
     folds: int = 5,
     seed: int = 0,
     parallelism: int = 4,
+    hashed_bags: bool = False,
 ) -> Tuning:
-    """Space-filling search, regular search, best candidate by RMSE, hold-out fit."""
+    """Space-filling search, regular search, best candidate by RMSE, hold-out fit.
+
+    ``hashed_bags`` bags candidates as final models are, at a job for each bag; else each is one MLlib fit.
+    """
     spark = table.df.sparkSession
     train = tuning.training_part(table, seed=seed)
     wide = tuning.latin_hypercube(spark, first_ranges, candidates, seed)
     narrow = tuning.regular_grid(spark, second_ranges, levels)
     first = tuning.collect_metrics(
-        tuning.grid_search(train, wide, base, folds, seed, parallelism)
+        tuning.grid_search(train, wide, base, folds, seed, parallelism, hashed_bags)
     )
     second = tuning.collect_metrics(
-        tuning.grid_search(train, narrow, base, folds, seed, parallelism)
+        tuning.grid_search(train, narrow, base, folds, seed, parallelism, hashed_bags)
     )
     best = tuning.select_best(second)
     row = best.first()
     point = {p: row[p] for p in tuning.PARAMETERS}
-    return Tuning(first, second, best, tuning.last_fit(table, point, base, seed=seed))
+    return Tuning(first, second, best, tuning.last_fit(table, point, base, seed=seed, hashed_bags=hashed_bags))
