@@ -9,16 +9,21 @@ slots by joining on length and rank within length.
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import json
+import re
 import struct
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache
+from itertools import count, pairwise
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,6 +34,8 @@ from coppice.llm.common import arrow_map, stage, utf8
 REMEMBERED_BYTES = 48 << 20
 #: What a remembered word takes besides its own bytes and those of its ids.
 _ENTRY_BYTES = 160
+#: Bytes of the texts that are split at a time; a longer text is split alone.
+CHUNK_BYTES = 8 << 20
 #: Rows of a plan range that one task spreads, and pieces that are ranked together.
 SLOTS_PER_CHUNK = 50_000
 #: Steps before the model of a tokenizer for which words may be encoded one by one: it lower-cases, drops white space, and
@@ -46,95 +53,131 @@ _WORDWISE = {
     ]},
     "post_processor": None, "truncation": None, "padding": None,
 }
+#: The pieces of a lower-case word of printable ASCII, as the tokenizer's pattern above cuts it.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+_PRINTABLE = re.compile("[!-~]+").fullmatch
 
 
-def _byte_signs() -> dict[int, int]:
-    """The sign by which a byte-level vocabulary writes each byte: printable ones as they are, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {b: 256 + i for i, b in enumerate(others)}
+def _byte_signs() -> str:
+    """The signs by which a byte-level vocabulary writes each byte: printable ones as they are, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = count(256)
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
 
 
 _BYTE_SIGNS = _byte_signs()
 
 
 @cache
-def _tokenizer(path: str) -> tuple[Tokenizer, bool]:
-    """The tokenizer of a file, and whether its file says that words may be encoded one by one."""
+def _tokenizer(path: str) -> tuple[Tokenizer, bool, tuple[str, ...]]:
+    """The tokenizer of a file, whether its file says that words may be encoded one by one, and its added tokens."""
     tokenizer = Tokenizer.from_file(path)
     steps = json.loads(tokenizer.to_str())
-    return tokenizer, all(steps[k] == v for k, v in _WORDWISE.items())
+    added = steps["added_tokens"]
+    within = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+    spaced = any(re.search(r"\s", t["content"]) for t in added)
+    wordwise = within and not spaced and all(steps[k] == v for k, v in _WORDWISE.items())
+    return tokenizer, wordwise, tuple(t["content"] for t in added)
 
 
 class Encoder:
     """Ids of texts, for one task: what it remembers of words goes with it.
 
-    Where the tokenizer's file proves that words may be encoded one by one they are, and those of late are
+    Where the tokenizer's file proves that words may be encoded one by one they are: Arrow splits some texts at a time and
+    finds their different words, each is looked up once, and Arrow puts the ids in the words' places. Words of late are
     remembered, in two generations bounded in bytes. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.wordwise = _tokenizer(path)
+        self.tokenizer, self.wordwise, self.added = _tokenizer(path)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
         self.bytes = 0
-        if self.wordwise:
-            self.stops = {s: struct.pack("<I", t[0].id) if (t := self.model.tokenize(s)) else b"" for s in ("", ".", ",")}
 
     def text_ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text, without special tokens."""
-        if not self.wordwise:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if text.isascii():
-            text = text.lower()
-        return self.ids(text.replace("\n", " ").split(" "))
+        return next(self.texts_ids(pa.array([text], pa.large_string())))
 
-    def _letters(self, low: str) -> bytes:
-        """Ids of letters that the tokenizer's first steps leave as they are."""
-        found = self.model.tokenize(low)
-        return struct.pack("<I", found[0].id) if len(found) == 1 else struct.pack(f"<{len(found)}I", *[t.id for t in found])
+    def texts_ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in turn."""
+        if not self.wordwise:
+            for text in texts:
+                yield np.array(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(texts):
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, "right")))
+            words = pc.split_pattern(pc.replace_substring(texts.slice(first, last - first), "\n", " "), " ")
+            coded = words.flatten().dictionary_encode()
+            found = self.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            _, starts, body = pa.array(found, pa.large_binary()).take(coded.indices).buffers()
+            at = np.frombuffer(starts, np.int64)[words.offsets.to_numpy()].tolist()
+            body = memoryview(body or b"")
+            for a, b in pairwise(at):
+                yield bytes(body[a:b])
+            first = last
+
+    def _remember(self, word: str, ids: bytes) -> None:
+        if self.bytes > REMEMBERED_BYTES:
+            self.before, self.known, self.bytes = self.known, {"": b""}, 0
+        self.known[word] = ids
+        self.bytes += _ENTRY_BYTES + len(word) + len(ids)
+
+    def _piece(self, low: str) -> bytes:
+        """Ids of a piece that the tokenizer's first steps leave as it is, but for writing its bytes as signs."""
+        ids = self.known.get(low)
+        if ids is None:
+            ids = self.before.get(low)
+            if ids is None:
+                signs = low if low.isascii() else codecs.charmap_decode(low.encode(), "strict", _BYTE_SIGNS)[0]
+                own = [t.id for t in self.model.tokenize(signs)]
+                ids = struct.pack(f"<{len(own)}I", *own)
+            self._remember(low, ids)
+        return ids
 
     def _plain(self, word: str) -> bytes | None:
-        """Ids of letters, and perhaps a stop or comma, which the tokenizer would only lower; None for other words."""
-        if word.isascii() and word.isalpha():
-            return self._letters(word.lower())
+        """Ids of a word of printable ASCII, or of letters and perhaps a stop or comma; None for other words."""
+        if word.isascii():
+            if word.isalpha():
+                return self._piece(word.lower())
+            letters = word[:-1]
+            if word[-1] in ".," and letters.isalpha():
+                return self._piece(letters.lower()) + self._piece(word[-1])
+            if not _PRINTABLE(word) or any(t in word for t in self.added):
+                return None
+            return b"".join(map(self._piece, _ASCII_PIECES(word.lower())))
         letters, stop = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-        if not letters.isalpha():
-            return None
         low = letters.lower()
-        if not letters.isascii():
-            if "\u03a3" in letters or len(low) != len(letters) or not low.isalpha():
-                return None
-            if not (is_normalized("NFC", letters) and is_normalized("NFC", low)):
-                return None
-            low = low.encode().decode("latin-1").translate(_BYTE_SIGNS)
-        return self._letters(low) + self.stops[stop]
-
-    def ids(self, words: list[str]) -> bytes:
-        new = set(words).difference(self.known)
-        if new:
-            if self.bytes > REMEMBERED_BYTES:
-                self.before, self.known, self.bytes = self.known, {"": b""}, 0
-                new = set(words).difference(self.known)
-            known, before, rest = self.known, self.before, []
-            size = _ENTRY_BYTES * len(new)
-            for w in new:  # one by one: set methods would go through all that is remembered
-                ids = before[w] if w in before else self._plain(w)
-                if ids is None:
-                    rest.append(w)
-                else:
-                    known[w] = ids
-                    size += len(w) + len(ids)
-            for a in range(0, len(rest), 10_000):
-                part = rest[a : a + 10_000]
-                found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-                own = np.array(found.ids, dtype="<u4").tobytes()
-                end = (np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))) * 4).tolist()
-                known.update(zip(part, map(own.__getitem__, map(slice, [0, *end], end)), strict=False))
-                size += len(own) + sum(map(len, part))
-            self.bytes += size
-        return b"".join(map(self.known.__getitem__, words))
+        if not letters.isalpha() or "\u03a3" in letters or len(low) != len(letters) or not low.isalpha():
+            return None
+        if not (is_normalized("NFC", letters) and (low == letters or is_normalized("NFC", low))):
+            return None
+        return self._piece(low) + self._piece(stop)
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words have no blanks and line feeds."""
+        found = list(map(self.known.get, words))
+        rest = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            ids = self._plain(words[i])
+            if ids is None:
+                ids = self.before.get(words[i])
+            if ids is None:
+                rest.append(i)
+            else:
+                found[i] = ids
+        for a in range(0, len(rest), 10_000):
+            part = [words[i] for i in rest[a : a + 10_000]]
+            encoded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            own = np.array(encoded.ids, dtype="<u4").tobytes()
+            end = (np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(part))) * 4).tolist()
+            for i, (start, stop) in zip(rest[a : a + 10_000], pairwise([0, *end]), strict=True):
+                found[i] = own[start:stop]
+                self._remember(words[i], found[i])
+        return found
 
 
 def encode_text(text: str, path: str) -> bytes:
@@ -142,6 +185,14 @@ def encode_text(text: str, path: str) -> bytes:
     return Encoder(path).text_ids(text)
 
 
+def _text(raw: pa.Array) -> pa.Array:
+    """Bytes as text, with a replacement character for what is not UTF-8."""
+    try:
+        return raw.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.large_string())
+
+
 def token_pieces(
     df: DataFrame, tokenizer: str, max_tokens: int, end_id: int, id_col: str, text_col: str, with_ids: bool = False
 ) -> DataFrame:
@@ -167,8 +218,8 @@ def token_pieces(
                     names.append("ids")
                 return pa.RecordBatch.from_arrays(out, names=names)
 
-            for i, raw in enumerate(batch.column(1)):
-                tokens = encoder.text_ids(raw.as_py().decode("utf-8", "replace")) + end
+            for i, tokens in enumerate(encoder.texts_ids(_text(batch.column(1)))):
+                tokens += end
                 for p, at in enumerate(range(0, len(tokens), step)):
                     part = tokens[at : at + step]
                     source.append(i)

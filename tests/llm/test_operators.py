@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -487,6 +488,64 @@ def test_packing_forgets_words_beyond_its_bound(monkeypatch):
     assert packing.Encoder(tokenizer_path()).known == {"": b""}  # a new task knows no words
 
 
+def test_packing_encodes_a_word_once_however_it_is_written():
+    encoder, asked = packing.Encoder(tokenizer_path()), Counter()
+
+    class Model:
+        def tokenize(self, signs, tokenize=encoder.model.tokenize):
+            asked[signs] += 1
+            return tokenize(signs)
+
+    class Whole:
+        def encode(self, *args, **options):
+            raise AssertionError("words of printable ASCII need no whole tokenizer")
+
+    encoder.model, encoder.tokenizer = Model(), Whole()
+    texts = ["Thonre thonre, THONRE. thonre***", "thonre's\nthonre", "", "(Thonre) thonre."]
+    found = list(encoder.texts_ids(pa.array(texts)))
+    fresh = packing.Encoder(tokenizer_path()).tokenizer
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked["thonre"] == 1 and max(asked.values()) == 1
+
+
+def test_packing_splits_texts_as_the_tokenizer_does(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    capitals = "A <|ENDOFTEXT|> b"  # only the added token as it is written is one
+    assert np.frombuffer(packing.encode_text(capitals, tokenizer_path()), "<u4").tolist() == tokenizer.encode(
+        capitals, add_special_tokens=False
+    ).ids
+    rng = random.Random(17)
+    parts = [
+        "<|ENDOFTEXT|>", "<|endoftext|>", "<|Endof", "text|>", "H\u0331", "h\u0331", "I\u0307", "\u0130", "\u03a3", "stra\u00dfe",
+        "IT'S", "'RE", "'ll", "don't,", "a.,", ".,", "x1y", "$$$", "\x00", "\x1c", "\x7f", "\x85", "\u00a0", "\r", "\t", "\n", " ",
+        " ", " ", "\u01c5", "\ufb01", "\u2126", "\u212a", "\u00c9l,", "\u0442\u0415.", "\u4e2d", "\U0001f600", "Word", "word", ".", ",",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (1, 500, 1 << 20):
+        monkeypatch.setattr(packing, "CHUNK_BYTES", size)
+        monkeypatch.setattr(packing, "REMEMBERED_BYTES", 20 * size)
+        for column in (pa.array(texts), pa.array(["no", *texts]).slice(1)):
+            found = [np.frombuffer(x, "<u4").tolist() for x in encoder.texts_ids(column)]
+            assert found == wanted
+    raw = pa.array([b"Caf\xc3\xa9 ", b"bad \xff\xc3 end", b""])
+    assert packing._text(raw).to_pylist() == ["Caf\u00e9 ", "bad \ufffd\ufffd end", ""]
+    assert list(encoder.texts_ids(packing._text(raw.slice(0, 0)))) == []
+
+
+def test_packing_looks_at_added_tokens_before_it_splits_texts(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    spaced = Tokenizer.from_file(tokenizer_path())
+    spaced.add_tokens([AddedToken("two words", normalized=False)])
+    path = str(tmp_path / "spaced.json")
+    spaced.save(path)
+    text = "here are two words more"
+    assert np.frombuffer(packing.encode_text(text, path), "<u4").tolist() == spaced.encode(text, add_special_tokens=False).ids
+
+
 def test_pipeline_stages_keep_the_columns_and_take_effect(spark, docs, empty, tmp_path):
     rng = random.Random(16)
     item = _prose(rng, 30)
